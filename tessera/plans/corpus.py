@@ -1,0 +1,11 @@
+"""The reference's own queries and their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
