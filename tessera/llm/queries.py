@@ -1,0 +1,24 @@
+"""Queries of the training-data problems; each runs over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.tables import read_table
+from . import bpe
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_corpus(read_table(spark, d, "documents", "doc_id", "text"))
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (p7_ids,)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
