@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import packed
+from ..sources.tables import read_table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return packed.split_packed(read_table(spark, d, "paper_taxonomy"), "rec_id", {"benchmark_names": "name", "languages": "code"})
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (p2_found,)}
 
 
 def oracle_sql() -> dict:
