@@ -7,17 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import bpe
+from . import bpe, canonical
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    fields = ["task_type", "domain", "data_source", "input_type"]
+    found = canonical.map_values(read_table(spark, d, "paper_taxonomy"), "rec_id", fields, read_table(spark, d, "canonical_values"))
+    return found.select("rec_id", "field", "canonical")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, d, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p7_ids,)}
+    return {f.__name__: f for f in (p1_found, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
