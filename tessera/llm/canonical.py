@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import not_blank
-from ..session import join_known, materialize, ship, small, spread
+from ..session import join_known, materialize, ship, small
 
 UNMATCHED = "UNMATCHED"
 #: Entries in one tree; a broadcast reference has no more.
@@ -139,7 +139,7 @@ def forms(value: str) -> list[tuple[str, int, float]]:
                 add(order[x:y], 0.2 * k + 0.1 * (x > 0 or y < len(order)))
         for x, y in ((a + 1, b), (a, b - 1)):  # a qualifier that isn't listed, or is itself misspelt
             if y > x and sum(map(len, order[x:y])) >= 5:
-                add(order[x:y], 1.6 + 0.2 * k, tight=1)
+                add(order[x:y], 4 + 0.2 * k, tight=1)
     return [(s, t, p) for s, (t, p) in out.items()]
 
 
@@ -208,7 +208,8 @@ def map_values(df: DataFrame, key: str, fields: list[str], canon: DataFrame, sha
             for b in batches:
                 yield _winners(b, ref.value)
 
-        best = spread(values, "field", "value").mapInPandas(one, schema)
+        # a number of partitions that AQE leaves as it is: few bytes, but much work for each
+        best = values.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "field", "value").mapInPandas(one, schema)
     else:
         shards = -(-names.count() // shard)
         salts = 1 + values.count() // 100_000

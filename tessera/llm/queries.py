@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, canonical
+from ..functions.text import strip
+from . import bpe, canonical, consensus, quota
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,12 +20,48 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("rec_id", "field", "canonical")
 
 
+def _bucket_sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    papers = read_table(spark, d, "anthology_enriched_with_bucket", "bibkey", "bucket", "year", "scored_at")
+    papers = papers.withColumn("bucket", F.upper(strip("bucket")))
+    return quota.sample(papers, "bibkey", ["bucket", "year"], read_table(spark, d, "sample_targets"), latest="scored_at")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _bucket_sample(spark, d)[1].filter("short").select("bucket", "year")
+
+
+def p3_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _bucket_sample(spark, d)[0]
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return _bucket_sample(spark, d)[1]
+
+
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    three = {a: f"{a}_label" for a in ("google", "deepseek", "mistral")}
+    two = {a: f"{a}_label" for a in ("mistral", "claude")}
+    return consensus.votes([(read_table(spark, d, "results_merged"), "merged_at", three), (read_table(spark, d, "merged"), "labelled_at", two)], "bibkey")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(_votes(spark, d), "bibkey").filter("disputed").select("bibkey", "consensus")
+
+
+def p6_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(_votes(spark, d), "bibkey")
+
+
+def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.annotators(_votes(spark, d), "bibkey")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, d, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_sample, p3_report, p6_found, p6_consensus, p6_annotators, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
