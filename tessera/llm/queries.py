@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from ..functions.text import strip
-from . import bpe, canonical, consensus, quota
+from . import bpe, canonical, consensus, quota, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,8 +60,19 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, d, "documents", "doc_id", "text"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents", "doc_id", "text", "lang")
+    return truncation.find_cut(docs, "doc_id").filter("cut").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents", "doc_id", "text", "lang", "source")
+    cut = truncation.find_cut(docs, "doc_id", keep=("source",))
+    return cut.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("rate"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_sample, p3_report, p6_found, p6_consensus, p6_annotators, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_sample, p3_report, p6_found, p6_consensus, p6_annotators, p7_ids, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
