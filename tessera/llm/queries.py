@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from ..functions.text import strip
-from . import bpe, canonical, consensus, quota, truncation
+from . import bpe, canonical, consensus, language, quota, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,27 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return _bucket_sample(spark, d)[1]
 
 
+LANGUAGES = ["de", "en", "es", "fr", "it", "pt", "zh"]
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    papers = read_table(spark, d, "anthology_enriched", "id", "abstract", "language", "venues", "loaded_at")
+    labelled = papers.select(F.col("abstract").alias("text"), language.code(F.col("language")).alias("lang")).unionByName(
+        read_table(spark, d, "documents").select("text", language.code(F.col("lang")).alias("lang"))
+    )
+    papers = language.latest(papers, "id", "loaded_at", "abstract", "language")
+    return language.segments(papers, "id", "abstract", "language", labelled, LANGUAGES, "venues")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    odd = F.col("label").isNull() | (F.col("n_segs") > 1) | (F.col("label") != F.col("lang"))
+    return _segments(spark, d).filter(odd).select("id", "seg", "lang")
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d)
+
+
 def _votes(spark: SparkSession, d: str) -> DataFrame:
     three = {a: f"{a}_label" for a in ("google", "deepseek", "mistral")}
     two = {a: f"{a}_label" for a in ("mistral", "claude")}
@@ -72,7 +93,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_sample, p3_report, p6_found, p6_consensus, p6_annotators, p7_ids, p9_found, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_sample, p3_report, p4_found, p4_segments, p6_found, p6_consensus, p6_annotators, p7_ids, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
