@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from ..functions.text import strip
-from . import bpe, canonical, consensus, language, quota, truncation
+from . import bpe, canonical, consensus, language, overlap, quota, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,23 @@ def p4_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d)
 
 
+def _evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "val").withColumn("split", F.lit("val")).unionByName(read_table(spark, d, "test").withColumn("split", F.lit("test")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = overlap.overlaps(read_table(spark, d, "train"), _evaluation(spark, d))
+    return pairs.select(F.least("t", "e").alias("row_a"), F.greatest("t", "e").alias("row_b"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = _evaluation(spark, d)
+    hits = overlap.overlaps(read_table(spark, d, "train"), rows).groupBy(F.col("e").alias("row_id")).agg(F.count("*").alias("n"))
+    return rows.select("row_id", "split", "source").join(hits, "row_id", "left").groupBy("split", "source").agg(
+        F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs")
+    )
+
+
 def _votes(spark: SparkSession, d: str) -> DataFrame:
     three = {a: f"{a}_label" for a in ("google", "deepseek", "mistral")}
     two = {a: f"{a}_label" for a in ("mistral", "claude")}
@@ -93,7 +110,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_sample, p3_report, p4_found, p4_segments, p6_found, p6_consensus, p6_annotators, p7_ids, p9_found, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_sample, p3_report, p4_found, p4_segments, p5_found, p5_report, p6_found, p6_consensus, p6_annotators, p7_ids, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
