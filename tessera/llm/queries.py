@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from ..functions.text import strip
-from . import bpe, canonical, consensus, language, overlap, quota, truncation
+from . import bpe, canonical, consensus, language, mixing, overlap, quota, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,6 +98,22 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, d, "documents", "doc_id", "text"))
 
 
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(read_table(spark, d, "documents", "doc_id", "text", "source"), read_table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1].filter("not reachable").select("source")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents", "doc_id", "text", "lang")
     return truncation.find_cut(docs, "doc_id").filter("cut").select("doc_id")
@@ -110,7 +126,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_sample, p3_report, p4_found, p4_segments, p5_found, p5_report, p6_found, p6_consensus, p6_annotators, p7_ids, p9_found, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_sample, p3_report, p4_found, p4_segments, p5_found, p5_report, p6_found, p6_consensus, p6_annotators, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
