@@ -1,20 +1,328 @@
-"""The reference's own queries and their SQL."""
+"""The queries of the core library, each over its whole tables. Their SQL is in ``sql.py``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-from ..operators import packed
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import strip
+from ..operators import agreement, corpus, labels, learning, packed, predictions, sampling
 from ..sources.tables import read_table
+from ..streaming import labelling
+from . import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+ABC = {"A": 400, "B": 400, "C": 300}
+GOLD = {"A": 70, "B": 70, "C": 70}
+POOL = {"A": 500, "B": 400, "C": 300}
+SECOND = {"A": 100, "B": 100, "C": 0}
+TASK = labels.Task("Decide whether the paper introduces a new benchmark for text classification.")
+
+
+def _r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+def _papers(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return read_table(spark, d, "anthology_enriched", *columns)
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.score(corpus.with_text(_papers(spark, d, "id", "title", "abstract"), "title", "abstract"))
+
+
+def _bucketed(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.keep_latest(read_table(spark, d, "anthology_enriched_with_bucket", "bibkey", "scored_at", "bucket", "year"), "bibkey", "scored_at").select("bibkey", "bucket", "year")
+
+
+def _clean_label(c: str) -> Column:
+    return F.regexp_replace(F.upper(strip(c)), r"^LABEL\.", "").alias(c)
+
+
+def _three(spark: SparkSession, d: str) -> DataFrame:
+    names = ["google_label", "deepseek_label", "mistral_label"]
+    rows = read_table(spark, d, "results_merged", "bibkey", "merged_at", *names)
+    return sampling.keep_latest(rows, "bibkey", "merged_at").select("bibkey", *map(_clean_label, names))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.split_packed(read_table(spark, d, "paper_taxonomy"), "rec_id", {"benchmark_names": "name", "languages": "code"})
 
 
-def queries() -> dict:
-    return {f.__name__: f for f in (p2_found,)}
+def catalog_projection(spark: SparkSession, d: str) -> DataFrame:
+    p = corpus.project(_papers(spark, d))
+    return p.select("id", "bibkey", "title", F.col("year").cast("int").alias("year"), F.get("authors", F.lit(0)).alias("first_author"), F.coalesce(F.size("venues"), F.lit(0)).alias("n_venues"), "doi")
+
+
+def signal_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).drop("title", "abstract")
+
+
+def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def corpus_clean(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.clean(_papers(spark, d, "id", "bibkey", "year", "venues")).select("id", "bibkey", "year", "venue_type")
+
+
+def corpus_clean_with_abstract(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.with_text(corpus.clean(_papers(spark, d, "id", "year", "venues", "abstract")), "abstract").select("id", "abstract")
+
+
+def venue_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.clean(_papers(spark, d, "year", "venues")).groupBy("venue_type").agg(F.count("*").alias("n"))
+
+
+def enrich_left_join(spark: SparkSession, d: str) -> DataFrame:
+    second = read_table(spark, d, "documents").filter("section = 'abstract'").select(F.col("bibkey").alias("acl_id"), F.col("text").alias("abstract"), F.col("n_chars").alias("numcitedby"))
+    return corpus.enrich(_papers(spark, d, "id", "bibkey", "abstract", "numcitedby"), second, "bibkey", "acl_id", ["numcitedby"]).select("id", "bibkey", "abstract", "numcitedby")
+
+
+def bucket_year_counts(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "anthology_enriched_with_bucket", "bucket", "year").filter("bucket is not null").groupBy("bucket", "year").agg(F.count("*").alias("n")).orderBy("bucket", "year")
+
+
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.stratified(_bucketed(spark, d), "bibkey", ABC, 42)
+
+
+def sample_year_profile(spark: SparkSession, d: str) -> DataFrame:
+    return stratified_sample(spark, d).groupBy("bucket", "year").agg(F.count("*").alias("n"))
+
+
+def val_split(spark: SparkSession, d: str) -> DataFrame:
+    s = stratified_sample(spark, d)
+    val = sampling.fraction(s, "bibkey", 0.15, 42)
+    return val.withColumn("split", F.lit("val")).unionByName(sampling.without(s, val, "bibkey").withColumn("split", F.lit("train"))).select("bibkey", "bucket", "split")
+
+
+def gold_and_pool(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.gold_and_pool(_bucketed(spark, d), "bibkey", GOLD, POOL).select("bibkey", "bucket", "split")
+
+
+def second_round_pool(spark: SparkSession, d: str) -> DataFrame:
+    done = read_table(spark, d, "results_merged", "bibkey").unionByName(read_table(spark, d, "merged", "bibkey")).distinct()
+    return sampling.stratified(sampling.without(_bucketed(spark, d), done, "bibkey"), "bibkey", SECOND, 42)
+
+
+def _labelled_rows(spark: SparkSession, d: str) -> DataFrame:
+    parts = [read_table(spark, d, t, "row_id", "label") for t in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("label is not null")
+
+
+def split_70_15_15(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.three_way(_labelled_rows(spark, d), "row_id", "label").select("row_id", "label", "split")
+
+
+def split_70_15_15_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return split_70_15_15(spark, d).groupBy("split", "label").agg(F.count("*").alias("n"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Landed response lines: each row's answer as the JSON a provider returns, a few of them broken as transfers break them."""
+    rows = read_table(spark, d, "paper_taxonomy")
+    array = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).alias(c)
+    label = F.when(F.col("rec_id") % 37 == 0, "MAYBE").otherwise(F.col("label")).alias("label")
+    reasoning = F.when(F.col("rec_id") % 41 != 0, F.col("reasoning")).alias("reasoning")
+    plain = ["justification", "task_type", "input_type", "label_type", "domain", "data_source", "benchmark_novelty", "is_multitask"]
+    payload = F.to_json(F.struct(reasoning, label, array("benchmark_names"), array("languages"), *plain), {"ignoreNullFields": "false"})
+    payload = F.when(F.col("rec_id") % 31 == 0, F.substring(payload, 1, 20)).otherwise(payload)
+    message = F.struct(F.struct(payload.alias("content")).alias("message"))
+    return rows.select(F.to_json(F.struct(F.col("rec_id").cast("string").alias("custom_id"), F.struct(F.struct(F.array(message).alias("choices")).alias("body")).alias("response"))).alias("value"))
+
+
+def label_parse(spark: SparkSession, d: str) -> DataFrame:
+    p = labels.parse(_answers(spark, d), "mistral")
+    return p.select("key", "valid", "label", "task_type", "is_multitask", F.get("languages", F.lit(0)).alias("languages"))
+
+
+def label_parse_errors(spark: SparkSession, d: str) -> DataFrame:
+    return labels.parse(_answers(spark, d), "mistral").agg(F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("n_errors"))
+
+
+def label_merge_left(spark: SparkSession, d: str) -> DataFrame:
+    base = read_table(spark, d, "paper_taxonomy", "rec_id", "provider").select(F.col("rec_id").cast("string").alias("bibkey"), "provider")
+    return labels.merge(base, labels.parse(_answers(spark, d), "mistral"), "mistral", columns=["label", "task_type", "domain"])
+
+
+def request_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "train", "row_id", "title", "abstract")
+    ask = {"mistral": "$.body.messages[1].content", "google": "$.request.contents[0].parts[0].text", "claude": "$.params.messages[0].content"}
+    name = {"mistral": "$.custom_id", "google": "$.key", "claude": "$.custom_id"}
+    out = None
+    for p in ask:
+        lines = labels.requests(rows, p, TASK, "model-1", "row_id")
+        one = lines.select(F.lit(p).alias("provider"), F.get_json_object("line", name[p]).alias("name"), F.get_json_object("line", ask[p]).alias("content"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def kappa_pairs(spark: SparkSession, d: str) -> DataFrame:
+    t = _three(spark, d)
+    names = ["google_label", "deepseek_label", "mistral_label"]
+    out = None
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            k = agreement.kappa(t, a, b).select(F.lit(f"{a}/{b}").alias("pair"), "n", *(_r6(c).alias(c) for c in ("observed", "expected", "kappa")))
+            out = k if out is None else out.unionByName(k)
+    return out
+
+
+def confusion_long(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.confusion(_three(spark, d).dropna(subset=["google_label", "mistral_label"]), "google_label", "mistral_label")
+
+
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    t = _three(spark, d)
+    found = sorted(r[0] for r in t.select("google_label").distinct().filter("google_label is not null").limit(100).collect())  # the label domain
+    return agreement.confusion_matrix(t, "google_label", "mistral_label", found)
+
+
+def crosstab_margins(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.crosstab(_three(spark, d), "google_label", "deepseek_label")
+
+
+def disagreements(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.disagreements(_three(spark, d), "google_label", "deepseek_label").select("bibkey", "google_label", "deepseek_label")
+
+
+def disagreement_rate(spark: SparkSession, d: str) -> DataFrame:
+    t = _three(spark, d).dropna(subset=["google_label", "deepseek_label"])
+    return t.agg(_r6(F.avg((F.col("google_label") != F.col("deepseek_label")).cast("double"))).alias("rate"))
+
+
+def majority_vote(spark: SparkSession, d: str) -> DataFrame:
+    t = _three(spark, d).dropna()
+    win, other = agreement.majority({"Google": F.col("google_label"), "DeepSeek": F.col("deepseek_label"), "Mistral": F.col("mistral_label")})
+    return t.select("bibkey", win.alias("majority_label"), other.alias("dissenter"))
+
+
+def _provider(spark: SparkSession, d: str, name: str) -> DataFrame:
+    rows = read_table(spark, d, "paper_taxonomy", "bibkey", "received_at", "provider", "label", "task_type").filter(F.col("provider") == name).drop("provider")
+    return labels.prefixed(sampling.keep_latest(rows, "bibkey", "received_at").drop("received_at"), name)
+
+
+def taxonomy_merge(spark: SparkSession, d: str) -> DataFrame:
+    g, k, m = (_provider(spark, d, x) for x in ("google", "deepseek", "mistral"))
+    t = g.join(k, "bibkey").join(m, "bibkey").dropna(subset=["google_label", "deepseek_label", "mistral_label"])
+    win, other = agreement.majority({"Google": F.col("google_label"), "DeepSeek": F.col("deepseek_label"), "Mistral": F.col("mistral_label")})
+    return t.withColumn("majority_label", win).withColumn("dissenter", other)
+
+
+def positives_semi(spark: SparkSession, d: str) -> DataFrame:
+    positive = _provider(spark, d, "google").filter("google_label = 'POSITIVE'").select("bibkey")
+    return _papers(spark, d, "id", "bibkey", "year").filter("year >= 2025").join(positive, "bibkey", "left_semi").select("id", "bibkey", "year")
+
+
+def ready_split(spark: SparkSession, d: str) -> DataFrame:
+    votes = sampling.keep_latest(read_table(spark, d, "merged", "bibkey", "labelled_at", "claude_label"), "bibkey", "labelled_at").select("bibkey", _clean_label("claude_label"))
+    texts = sampling.keep_latest(_papers(spark, d, "bibkey", "loaded_at", "title", "abstract"), "bibkey", "loaded_at").drop("loaded_at")
+    return labels.ready(votes.join(texts, "bibkey"), "claude_label")
+
+
+def label_union_dedup(spark: SparkSession, d: str) -> DataFrame:
+    first = read_table(spark, d, "merged", "bibkey", "claude_label").select("bibkey", labels.to_binary(_clean_label("claude_label")).alias("label"))
+    out = labels.first_per_key([first, read_table(spark, d, "test", "bibkey", "label")])
+    name = F.when(F.col("label") == 1, "POSITIVE").when(F.col("label") == 0, "NEGATIVE")
+    return out.select("bibkey", "label", name.alias("label_name"))
+
+
+def split_summary_total(spark: SparkSession, d: str) -> DataFrame:
+    names = ("train", "val", "test")
+    rows = None
+    for n in names:
+        part = read_table(spark, d, n, "bucket").withColumn("split", F.lit(n))
+        rows = part if rows is None else rows.unionByName(part)
+    counts = rows.filter("bucket is not null").groupBy("bucket").agg(*(F.count_if(F.col("split") == n).alias(n) for n in names))
+    return agreement.with_total(counts, "bucket")
+
+
+def split_key_union(spark: SparkSession, d: str) -> DataFrame:
+    rows = None
+    for n in ("train", "val", "test"):
+        part = read_table(spark, d, n, "bibkey")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.agg(F.count("*").alias("n_rows"), F.count_distinct("bibkey").alias("n_keys"))
+
+
+def split_overlap_check(spark: SparkSession, d: str) -> DataFrame:
+    train = read_table(spark, d, "train", "bibkey").distinct()
+    rows = read_table(spark, d, "val", "bibkey").withColumn("split", F.lit("val")).unionByName(read_table(spark, d, "test", "bibkey").withColumn("split", F.lit("test")))
+    return rows.join(train, "bibkey", "left_semi").groupBy("split").agg(F.count("*").alias("n"))
+
+
+def _logits(spark: SparkSession, d: str) -> DataFrame:
+    x = lambda i: 6 * F.get("embedding", F.lit(i)).cast("double")
+    stratum = F.when(F.col("vec_id") % 3 == 0, "A").when(F.col("vec_id") % 3 == 1, "B").otherwise("C")
+    return read_table(spark, d, "embeddings", "vec_id", "label", "embedding").select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("bibkey"), (F.col("label") % 2).alias("label"), stratum.alias("bucket"), x(0).alias("l0"), x(1).alias("l1"))
+
+
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    return predictions.predict(_logits(spark, d), ["l0", "l1"], ["bibkey", "label", "bucket"])
+
+
+def predictions_softmax(spark: SparkSession, d: str) -> DataFrame:
+    return _predicted(spark, d).select("bibkey", "label", "bucket", "predicted", _r6("confidence").alias("confidence"), _r6("prob_positive").alias("prob_positive"))
+
+
+def uncertain_predictions(spark: SparkSession, d: str) -> DataFrame:
+    return predictions.uncertain(_predicted(spark, d)).select("bibkey", "predicted", _r6("confidence").alias("confidence"))
+
+
+def _rounded_metrics(df: DataFrame) -> DataFrame:
+    return df.select(*(_r6(c).alias(c) if c in ("accuracy", "precision", "recall", "f1") else F.col(c) for c in df.columns))
+
+
+def metrics_overall(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded_metrics(predictions.metrics(_predicted(spark, d)))
+
+
+def metrics_by_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded_metrics(predictions.metrics(_predicted(spark, d), ["bucket"]))
+
+
+def confusion_by_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.confusion(_predicted(spark, d), "label", "predicted", ["bucket"])
+
+
+def best_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return predictions.best_of(metrics_by_bucket(spark, d), "bucket", "f1").select("bucket", "f1")
+
+
+def class_weights(spark: SparkSession, d: str) -> DataFrame:
+    w = predictions.class_weights(read_table(spark, d, "train", "label"))
+    return w.select("label", "n", _r6("weight").alias("weight"))
+
+
+def weighted_loss(spark: SparkSession, d: str) -> DataFrame:
+    p = _predicted(spark, d)
+    return predictions.weighted_cross_entropy(p, predictions.class_weights(p)).select(F.round("loss", 4).alias("loss"))
+
+
+def classifier_predictions(spark: SparkSession, d: str) -> DataFrame:
+    model = learning.train(read_table(spark, d, "train", "title", "abstract", "label"))
+    return learning.infer(model, read_table(spark, d, "test", "row_id", "title", "abstract", "label"), ["row_id", "label"])
+
+
+def incremental_labels(spark: SparkSession, d: str) -> DataFrame:
+    return labelling.run(spark, f"{d}/train.parquet", labelling.keyword_annotator)
+
+
+NAMES = [
+    p2_found, catalog_projection, signal_scores, bucket_counts, corpus_clean, corpus_clean_with_abstract, venue_type_counts, enrich_left_join, bucket_year_counts, stratified_sample,
+    sample_year_profile, val_split, gold_and_pool, second_round_pool, split_70_15_15, split_70_15_15_sizes, label_parse, label_parse_errors, label_merge_left, request_lines, kappa_pairs,
+    confusion_long, confusion_matrix, crosstab_margins, disagreements, disagreement_rate, majority_vote, taxonomy_merge, positives_semi, ready_split, label_union_dedup, split_summary_total,
+    split_key_union, split_overlap_check, predictions_softmax, uncertain_predictions, metrics_overall, metrics_by_bucket, confusion_by_bucket, best_bucket, class_weights, weighted_loss,
+    classifier_predictions, incremental_labels,
+]
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in NAMES}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return sql.statements()
