@@ -129,5 +129,17 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p3_found, p3_sample, p3_report, p4_found, p4_segments, p5_found, p5_report, p6_found, p6_consensus, p6_annotators, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_rates)}
 
 
+WHITE = r"\s\x1c-\x1f\x{85}\p{Z}"
+#: Only what SQL can express on whole tables; the rest is tested against brute force, round trips and held-out accuracy.
+#: No case of p8_found is close, so bytes stand for tokens there.
+SQL = {
+    "p3_found": f"""WITH p AS (SELECT DISTINCT bibkey, upper(regexp_replace(bucket, '^[{WHITE}]+|[{WHITE}]+$', '', 'g')) AS bucket, year FROM anthology_enriched_with_bucket WHERE bibkey IS NOT NULL),
+        pool AS (SELECT p.* FROM p JOIN sample_targets USING (bucket, year)), n AS (SELECT count(DISTINCT bibkey) * 0.2::double AS n FROM pool), c AS (SELECT bucket, year, count(*) AS c FROM pool GROUP BY ALL)
+        SELECT bucket, year FROM sample_targets LEFT JOIN c USING (bucket, year), n WHERE coalesce(c, 0) < target_share * n OR coalesce(c, 0) < min_rows""",
+    "p8_found": """WITH s AS (SELECT source, sum(coalesce(strlen(text), 0)) AS b FROM documents GROUP BY source), n AS (SELECT sum(b) / 2.0::double AS n FROM s)
+        SELECT source FROM mix_targets LEFT JOIN s USING (source), n WHERE max_repeats * coalesce(b, 0) < target_share * n""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
