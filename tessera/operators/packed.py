@@ -23,6 +23,8 @@ SPACE = r"\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}\x{feff}"
 SIGNS = r""",;|/&+\-'"\[\](){}\\·；，、•`"""
 TOKENS = rf"\r\n|[{SPACE}{SIGNS}]|[^{SPACE}{SIGNS}]+"
 ALWAYS = ",;|\n\t；，、·•"
+#: An even number of backslashes, so that the next one escapes.
+EVEN = r"(?<!\\)((?:\\\\)*)"
 OPEN = {"[": "]", "(": ")", "{": "}"}
 #: By kind of field: signs that belong to the value where they touch it on both sides, and whether a blank separates.
 KINDS = {"name": ("-/&+'", False), "code": ("-", True)}
@@ -174,7 +176,7 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     val = (
         F.when(F.col("s.esc") == "csv", F.replace(raw, F.lit('""'), F.lit('"')))
         .when(F.col("s.esc") == "back", F.coalesce(
-            F.get_json_object(F.concat(F.lit('["'), F.regexp_replace(F.regexp_replace(raw, r"\\'", "'"), r'(?<!\\)"', r'\\"'), F.lit('"]')), "$[0]"), F.regexp_replace(raw, r"\\(.)", "$1")))
+            F.get_json_object(F.concat(F.lit('["'), F.regexp_replace(F.regexp_replace(raw, rf"{EVEN}\\'", "$1'"), rf'{EVEN}"', r'$1\\"'), F.lit('"]')), "$[0]"), F.regexp_replace(raw, r"\\(.)", "$1")))
         .otherwise(raw)
     )
     return ruled.select(key, "field", "tokens", F.posexplode("spans").alias("p", "s")).select(key, "field", (F.col("p") + 1).alias("pos"), val.alias("val"))

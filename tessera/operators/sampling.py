@@ -39,7 +39,7 @@ def stratified(df: DataFrame, key: str, quotas: dict[str, int], seed: int = 42,
     before = F.coalesce(F.sum("__k").over(W.partitionBy(bucket).orderBy(year).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     plan = plan.withColumn("__k", F.greatest(F.lit(0), F.least(F.col("__k"), F.col("__n") - before))).drop("__n")
     drawn = rows.join(plan, [bucket, year]).withColumn("__d", draw(key, seed))
-    return ranked(drawn, [bucket, year], "__d", key, F.col("__k")).drop("__k", "__d", "__rn")
+    return ranked(drawn, [bucket, year], "__d", key, F.col("__k")).select(*df.columns)
 
 
 def ranked(df: DataFrame, groups: list[str], digest: str, key: str, limit: Column | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def fraction(df: DataFrame, key: str, part: float, seed: int, bucket: str = "buc
     """Per bucket the round-half-even of part of its rows."""
     sizes = df.groupBy(bucket).agg(F.bround(F.count("*") * F.lit(part)).cast("long").alias("__k"))
     drawn = df.join(sizes, bucket).withColumn("__d", draw(key, seed))
-    return ranked(drawn, [bucket], "__d", key, F.col("__k")).drop("__k", "__d", "__rn")
+    return ranked(drawn, [bucket], "__d", key, F.col("__k")).select(*df.columns)
 
 
 def without(df: DataFrame, other: DataFrame, key: str) -> DataFrame:

@@ -176,9 +176,7 @@ def confusion_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
-    t = _three(spark, d)
-    found = sorted(r[0] for r in t.select("google_label").distinct().filter("google_label is not null").limit(100).collect())  # the label domain
-    return agreement.confusion_matrix(t, "google_label", "mistral_label", found)
+    return agreement.confusion_matrix(_three(spark, d), "google_label", "mistral_label", sorted(labels.LABELS))
 
 
 def crosstab_margins(spark: SparkSession, d: str) -> DataFrame:

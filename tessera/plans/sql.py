@@ -141,8 +141,8 @@ def statements() -> dict[str, str]:
         "request_lines": "SELECT provider, row_id::varchar AS name, 'Title: ' || coalesce(title, '') || chr(10) || 'Abstract: ' || coalesce(abstract, '') AS content FROM train, (VALUES ('mistral'), ('google'), ('claude')) v(provider)",
         "kappa_pairs": f"WITH {THREE} " + " UNION ALL ".join(_kappa(a, b) for a, b in (("google_label", "deepseek_label"), ("google_label", "mistral_label"), ("deepseek_label", "mistral_label"))),
         "confusion_long": f"WITH {THREE} SELECT google_label, mistral_label, count(*) AS n FROM three WHERE google_label IS NOT NULL AND mistral_label IS NOT NULL GROUP BY ALL",
-        "confusion_matrix": f"""WITH {THREE}, l AS (SELECT DISTINCT google_label FROM three WHERE google_label IS NOT NULL)
-            SELECT google_label, {', '.join(f"count(*) FILTER (mistral_label = '{x}') AS {x}" for x in ('NEGATIVE', 'POSITIVE', 'UNSURE'))} FROM three JOIN l USING (google_label) GROUP BY google_label""",
+        "confusion_matrix": f"""WITH {THREE}, l(google_label) AS (VALUES ('NEGATIVE'), ('POSITIVE'), ('UNSURE'))
+            SELECT google_label, {', '.join(f"count(*) FILTER (mistral_label = '{x}') AS {x}" for x in ('NEGATIVE', 'POSITIVE', 'UNSURE'))} FROM l LEFT JOIN three USING (google_label) GROUP BY google_label""",
         "crosstab_margins": f"""WITH {THREE} SELECT CASE WHEN grouping(google_label) = 1 THEN 'All' ELSE google_label END AS google_label, CASE WHEN grouping(deepseek_label) = 1 THEN 'All' ELSE deepseek_label END AS deepseek_label, count(*) AS n
             FROM three t WHERE google_label IS NOT NULL AND deepseek_label IS NOT NULL GROUP BY CUBE (t.google_label, t.deepseek_label)""",
         "disagreements": f"WITH {THREE} SELECT bibkey, google_label, deepseek_label FROM three WHERE google_label IS DISTINCT FROM deepseek_label",

@@ -1,0 +1,32 @@
+from tessera.operators import learning
+from tessera.sources import tables
+from tessera.streaming import labelling
+
+
+def rows(spark, a, b):
+    return spark.createDataFrame([(i, f"t{i}", None if i % 5 == 0 else ("a new dataset" if i % 2 else "a method")) for i in range(a, b)], "row_id long, title string, abstract string")
+
+
+def test_labelling_resumes_without_repeats(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    rows(spark, 0, 10).write.parquet(source)
+    assert labelling.run(spark, source, labelling.keyword_annotator, target).count() == 10
+    rows(spark, 10, 14).write.mode("append").parquet(source)
+    got = labelling.run(spark, source, labelling.keyword_annotator, target)
+    assert sorted(r["row_id"] for r in got.collect()) == list(range(14))
+    assert {r["label"] for r in got.collect()} == {"POSITIVE", "NEGATIVE", "UNSURE"}
+    assert labelling.run(spark, source, labelling.keyword_annotator, target).count() == 14
+
+
+def test_classifier_learns(spark):
+    df = spark.createDataFrame([(i, "good data" if i % 2 else "bad method", None, i % 2 if i < 90 else None) for i in range(100)], "row_id long, title string, abstract string, label int")
+    got = learning.infer(learning.train(df), df, ["row_id"]).collect()
+    assert all(r["predicted"] == r["row_id"] % 2 and r["confidence"] >= 0.5 for r in got)
+
+
+def test_sinks(spark, tmp_path):
+    df, path = rows(spark, 0, 3), str(tmp_path / "t")
+    assert tables.write_table(df, path) and not tables.write_table(df, path, force=False)
+    assert tables.predictions_path("/a/b/papers.parquet") == "/a/b/papers_predictions.parquet"
+    tables.write_json_lines(df.selectExpr("to_json(struct(*)) AS j"), "j", str(tmp_path / "j"))
+    assert tables.read_json_lines(spark, str(tmp_path / "j")).count() == 3
