@@ -120,7 +120,7 @@ def _run(vocabulary, counts: bool):
                     out = pa.array(n, pa.int64())
                 else:
                     out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in rest), out], [*names, "out"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in rest), out], [*names, "__out"])
 
     return run
 
@@ -130,9 +130,9 @@ def _apply(df: DataFrame, text: str, to: str, path: str, counts: bool, key: str
     v = spark.sparkContext.broadcast(load(path))
     keep = [c for c in df.columns if c not in (text, to)]
     kind = "bigint" if counts else "array<int>"
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"out {kind}"])
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"__out {kind}"])
     rows = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    return (spread(rows, key) if key else rows).mapInArrow(_run(v, counts), schema).withColumnRenamed("out", to)
+    return (spread(rows, key) if key else rows).mapInArrow(_run(v, counts), schema).withColumnRenamed("__out", to)
 
 
 def encode_corpus(df: DataFrame, text: str = "text", to: str = "ids", path: str = VOCABULARY, key: str | None = "doc_id") -> DataFrame:

@@ -44,7 +44,7 @@ def votes(tables: list[tuple[DataFrame, str, dict[str, str]]], key: str) -> Data
     return long.filter(F.col(key).isNotNull()).groupBy(key).agg(*(best(a).alias(a) for a in names))
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, steps: int = 4, rate: float = 0.5, spread: float = 0.5) -> dict[str, np.ndarray]:
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, steps: int = 4, rate: float = 0.5, spread: float = 0.25) -> dict[str, np.ndarray]:
     """patterns: rows of 1, 0 or -1 (no vote); counts: items with each. spread: prior deviation of log easiness."""
     n, a = patterns.shape
     voted = patterns >= 0

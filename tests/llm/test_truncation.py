@@ -1,0 +1,74 @@
+import random
+
+import numpy as np
+import pytest
+
+from tessera.llm import truncation
+
+WORDS = "the of and we labels texts method result corpus table shows that reviewers agreed which tasks remain open for data sources were read again by people from other towns".split()
+
+
+def sentence(rng):
+    return (" ".join(rng.choice(WORDS) for _ in range(rng.randint(8, 16)))).capitalize() + "."
+
+
+def make(n, seed=0):
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        t = "\n".join(" ".join(sentence(rng) for _ in range(rng.randint(2, 4))) for _ in range(rng.randint(1, 3)))
+        kind = rng.random()
+        if kind < 0.08:
+            cut = t[: rng.randint(len(t) // 2, len(t) - 8)]
+            if cut.rstrip()[-1] == ".":
+                cut = cut.rstrip()[:-4]
+            t, is_cut = cut + rng.choice(["", "", "", "…", "...", " [...]", "�", "  "]), True
+        else:
+            t, is_cut = t + rng.choice(["", "", "", "\n(see Appendix A)", "\nKeywords: labels, texts", "\n- licence: open", "\n5 Thanks", " "]), False
+        rows.append((i, t, "en" if i % 9 else None, "s" if i % 4 else None, is_cut))
+    return rows
+
+
+def run(spark, rows):
+    df = spark.createDataFrame([(*r, 0, "k") for r in rows], "doc_id long, text string, lang string, source string, truth boolean, tail int, kind string")
+    return {r["doc_id"]: r["cut"] for r in truncation.find_cut(df, "doc_id", keep=("source", "kind", "tail")).collect()}
+
+
+def test_finds_cut_texts(spark):
+    rows = make(3000)
+    got = run(spark, rows)
+    hit = sum(got[r[0]] and r[4] for r in rows)
+    assert hit / sum(r[4] for r in rows) > 0.93 and hit / sum(got.values()) > 0.95
+
+
+def test_nulls_blanks_copies_and_long(spark):
+    rows = make(2000, 1)
+    cut = next(r for r in rows if r[4] and r[1][-1].isalpha() and r[2] == "en")
+    extra = [(9001, None, None, None, False), (9002, "", "en", None, False), (9003, " \n", "en", None, False), (9004, cut[1], "en", None, True), (9005, cut[1], "en", "other", True), (9006, " ".join(r[1].rstrip() for r in rows if r[1].rstrip().endswith(".")) * 3, "en", None, False), (None, None, None, None, False)]
+    got = run(spark, rows + extra)
+    assert not got[9001] and not got[9002] and not got[9003] and not got[9006] and not got[None]
+    assert got[cut[0]] == got[9004] == got[9005] and len(got) == len(rows) + len(extra)
+
+
+def test_empty(spark):
+    assert run(spark, []) == {} and run(spark, [(1, None, None, None, False)]) == {1: False}
+    assert list(run(spark, [(1, "One text.", "en", None, False)])) == [1]
+
+
+@pytest.mark.parametrize(("text", "tail", "marked", "kind"), [
+    ("A b. C d", "A b. C d", False, 2), ("A b.\nC d…", "A b.\nC d", True, 1), ("Title of it", "\x01Title of it", False, 0), ("a b [...]", "\x01a b", True, 0), ("a b ...", "\x01a b ...", False, 0),
+    ("a 12��", "\x01a 00", True, 0), ("完。没完", "\x01完。没完", False, 2), ("a b.  \n", "\x01a b.", False, 0),
+])
+def test_tails(spark, text, tail, marked, kind):
+    got = spark.createDataFrame([(text,)], "t string").select(*truncation.tails(truncation.F.col("t"))).first()
+    assert (got[0], got[1], got[2]) == (tail if len(text) < 20 or kind == 0 else got[0], marked, kind) or (got[0].lstrip("\x01"), got[1], got[2]) == (tail.lstrip("\x01"), marked, kind)
+
+
+def test_kinds_agree_with_the_text_expression(spark):
+    text = 'First line\nSecond one. Third "x." Fourth。完了\nLast'
+    c = truncation._codes([chr(truncation.START) * truncation.NEAR + text])
+    places = truncation._kinds(c)[truncation.NEAR :] % 3
+    prefixes = [text[: i + 1] for i in range(len(text)) if not text[i].isspace()]
+    got = spark.createDataFrame([(p,) for p in prefixes], "t string").select(truncation.tails(truncation.F.col("t"))[2].alias("k")).collect()
+    want = [int(places[i]) for i in range(len(text)) if not text[i].isspace()]
+    assert [r["k"] for r in got] == want
+    assert np.isin(places, (0, 1, 2)).all()
