@@ -98,7 +98,7 @@ def encode(texts: list[str | None], v: dict[str, np.ndarray], split=None) -> tup
     return ids, np.diff(np.r_[0, upto[ends]])
 
 
-def _slices(lengths: np.ndarray):
+def slices(lengths: np.ndarray):
     """Consecutive rows of at most BATCH_CHARS characters (a longer text stands alone)."""
     group = np.cumsum(lengths) // BATCH_CHARS
     cuts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(lengths)]
@@ -114,7 +114,7 @@ def _run(vocabulary, counts: bool):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             rest = batch.columns[:-1]
             names = batch.schema.names[:-1]
-            for a, b in _slices(np.array([len(t or "") for t in texts], np.int64)):
+            for a, b in slices(np.array([len(t or "") for t in texts], np.int64)):
                 ids, n = encode(texts[a:b], v, find)
                 if counts:
                     out = pa.array(n, pa.int64())

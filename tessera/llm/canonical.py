@@ -74,6 +74,12 @@ class Tree:
                     break
                 at = self.children[at][x]
 
+    @classmethod
+    def of(cls, entries: list[str], children: list[dict[int, int]]) -> Tree:
+        out = cls([])
+        out.entries, out.children = entries, children
+        return out
+
     def search(self, forms: list[str], most: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Yields (entry, forms within their threshold of it, their distances): every such pair."""
         if not self.entries or not forms:
@@ -202,11 +208,13 @@ def map_values(df: DataFrame, key: str, fields: list[str], canon: DataFrame, sha
     values = long.groupBy("field", "value").agg(F.count("*").alias("n"))
     schema = "field string, value string, n bigint, score double, canonical string"
     if small(names, shard):
-        ref = df.sparkSession.sparkContext.broadcast(reference(names.toPandas()))
+        # plain values in the broadcast, so that executors need not have this package
+        ref = df.sparkSession.sparkContext.broadcast({f: (t.entries, t.children, m) for f, (t, m) in reference(names.toPandas()).items()})
 
         def one(batches):
+            trees = {f: (Tree.of(e, c), m) for f, (e, c, m) in ref.value.items()}
             for b in batches:
-                yield _winners(b, ref.value)
+                yield _winners(b, trees)
 
         # a number of partitions that AQE leaves as it is: few bytes, but much work for each
         best = values.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "field", "value").mapInPandas(one, schema)

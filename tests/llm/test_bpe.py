@@ -54,5 +54,5 @@ def test_round_trip(both):
 def test_slices_cover_all(monkeypatch):
     monkeypatch.setattr(bpe, "BATCH_CHARS", 10)
     for lengths in ([], [3, 3, 3, 3], [50, 1, 50], [0, 0]):
-        s = bpe._slices(np.array(lengths, np.int64))
+        s = bpe.slices(np.array(lengths, np.int64))
         assert [i for a, b in s for i in range(a, b)] == list(range(len(lengths)))
