@@ -123,15 +123,50 @@ def java(pattern: str) -> str:
     return FLAGS + pattern.replace(r"[\-\s]", rf"[\-{inner}]").replace(r"[\s\']", rf"[{inner}\']").replace(r"[\s!]", rf"[{inner}!]").replace(r"[\s]", f"[{inner}]").replace(r"\s", SPACE)
 
 
-def hits(text: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur at least once."""
-    return sum((text.rlike(java(p)).cast("int") for p in patterns), F.lit(0))
+#: Letters that case-blind matching takes for others beyond what lower() does.
+FOLDED = ("\u017f\u0131\u0130\u212a", "siik")
 
 
-def scores(title: Column, abstract: Column) -> dict[str, Column]:
+def stem(pattern: str) -> str:
+    """The longest run of letters and digits that every match of the pattern holds, in lower case ('' for none of three or more)."""
+    best, run, depth, i = "", "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i, c = i + 1, ""
+        elif c == "[":
+            i, c = pattern.index("]", i), ""
+        elif c == "{":
+            run, i, c = run[:-1], pattern.index("}", i), ""
+        depth += (c == "(") - (c == ")")
+        if c and c in "?*":
+            run = run[:-1]  # what may be absent
+        if c.isalnum() and not depth:
+            run += c
+        else:
+            best, run = max(best, run, key=len), ""
+        i += 1
+    best = max(best, run, key=len).lower()
+    return best if len(best) > 2 and "|" not in pattern.split("(")[0] else ""
+
+
+def hits(text: Column, patterns: list[str], folded: Column | None = None) -> Column:
+    """How many of the patterns occur at least once. folded: the text in lower case, to look for a pattern's stem first."""
+
+    def one(p: str) -> Column:
+        found = text.rlike(java(p))
+        return ((folded.contains(s) & found) if folded is not None and (s := stem(p)) else found).cast("int")
+
+    return sum(map(one, patterns), F.lit(0))
+
+
+def fold(text: Column) -> Column:
+    return F.lower(F.translate(text, *FOLDED))
+
+
+def scores(text: Column, folded: Column) -> dict[str, Column]:
     """Columns of all categories, by name; benchmark_total and classif_total need those and come from ``totals``."""
-    text = F.concat_ws(" ", title, abstract)
-    return {c: hits(text, p) for c, p in SIGNALS.items()} | {"introduces_method": text.rlike(java(METHOD)).cast("int")}
+    return {c: hits(text, p, folded) for c, p in SIGNALS.items()} | {"introduces_method": text.rlike(java(METHOD)).cast("int")}
 
 
 def totals() -> dict[str, Column]:

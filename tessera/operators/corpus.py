@@ -56,5 +56,6 @@ def enrich(papers: DataFrame, second: DataFrame, key: str, second_key: str, carr
 
 def score(papers: DataFrame) -> DataFrame:
     """papers with a column per signal category, the totals and the bucket."""
-    scored = papers.withColumns(signals.scores(F.col("title"), F.col("abstract")))
+    text = papers.withColumn("__text", F.concat_ws(" ", "title", "abstract")).withColumn("__folded", signals.fold(F.col("__text")))
+    scored = text.withColumns(signals.scores(F.col("__text"), F.col("__folded"))).drop("__text", "__folded")
     return scored.withColumns(signals.totals()).withColumn("bucket", signals.bucket())
