@@ -27,6 +27,8 @@ from ..session import join_known, materialize, ship, small
 UNMATCHED = "UNMATCHED"
 #: Entries in one tree; a broadcast reference has no more.
 SHARD = 20_000
+#: Values searched together.
+BATCH = 1_000
 #: Words that qualify a value without changing what it names (fixed values).
 BEFORE = {"probably", "mainly", "mostly", "binary", "multilingual", "a", "kind", "of", "fine", "grained", "some", "likely", "maybe", "perhaps"}
 AFTER = {"domain", "data", "text", "texts", "task", "tasks", "type", "etc", "mostly", "binary", "mainly", "dataset", "datasets", "only", "multilingual"}
@@ -60,19 +62,19 @@ class Tree:
     """A BK-tree: each child hangs on the edge of its distance to the parent."""
 
     def __init__(self, entries: list[str]):
-        self.entries: list[str] = []
-        self.children: list[dict[int, int]] = []
-        for e in dict.fromkeys(entries):
-            codes, at = encode([e]), 0
-            self.entries.append(e)
-            self.children.append({})
-            new = len(self.entries) - 1
-            while new:
-                x = int(distances(*codes, np.frombuffer(self.entries[at].encode("utf-32-le"), np.uint32))[0])
-                if x not in self.children[at]:
-                    self.children[at][x] = new
-                    break
-                at = self.children[at][x]
+        """Groups are split by their distances to their first entry, all of which are computed at once."""
+        self.entries = list(dict.fromkeys(entries))
+        self.children: list[dict[int, int]] = [{} for _ in self.entries]
+        codes, lengths = encode(self.entries)
+        stack = [np.arange(len(self.entries))] if self.entries else []
+        while stack:
+            at, rest = stack[-1][0], stack.pop()[1:]
+            if len(rest):
+                x = distances(codes[rest], lengths[rest], np.frombuffer(self.entries[at].encode("utf-32-le"), np.uint32))
+                for edge in np.unique(x):
+                    group = rest[x == edge]
+                    self.children[at][int(edge)] = int(group[0])
+                    stack.append(group)
 
     @classmethod
     def of(cls, entries: list[str], children: list[dict[int, int]]) -> Tree:
@@ -188,8 +190,8 @@ def match(field: str, values: list[str], ref: dict) -> list[tuple[float, str] |
 def _winners(values: pd.DataFrame, ref: dict) -> pd.DataFrame:
     parts = []
     for field, g in values.groupby("field", sort=False):
-        for a in range(0, len(g), 2000):
-            part = g.iloc[a : a + 2000]
+        for a in range(0, len(g), 2 * BATCH):
+            part = g.iloc[a : a + 2 * BATCH]
             found = match(field, part["value"].tolist(), ref)
             parts.append(part.assign(score=[f and f[0] for f in found], canonical=[f and f[1] for f in found]))
     out = pd.concat(parts) if parts else values.assign(score=None, canonical=None)
@@ -205,7 +207,7 @@ def map_values(df: DataFrame, key: str, fields: list[str], canon: DataFrame, sha
     exact = canon.select("field", F.col("canonical").alias("value")).distinct()
     long = long.join(F.broadcast(exact) if small(exact) else exact, ["field", "value"], "left_anti")
     names = canon.filter("canonical is not null and field is not null").select("field", "canonical", F.explode(F.array_union(F.array("canonical"), F.coalesce("also_known_as", F.array().cast("array<string>")))).alias("name")).filter("name is not null").distinct()
-    values = long.groupBy("field", "value").agg(F.count("*").alias("n"))
+    values = materialize(long.groupBy("field", "value").agg(F.count("*").alias("n")), "distinct")
     schema = "field string, value string, n bigint, score double, canonical string"
     if small(names, shard):
         # plain values in the broadcast, so that executors need not have this package
@@ -216,8 +218,8 @@ def map_values(df: DataFrame, key: str, fields: list[str], canon: DataFrame, sha
             for b in batches:
                 yield _winners(b, trees)
 
-        # a number of partitions that AQE leaves as it is: few bytes, but much work for each
-        best = values.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "field", "value").mapInPandas(one, schema)
+        # a number of partitions that AQE leaves as it is: few bytes, but much work; a batch visits most of the tree once
+        best = values.repartition(values.count() // BATCH + 1, "value").mapInPandas(one, schema)
     else:
         shards = -(-names.count() // shard)
         salts = 1 + values.count() // 100_000
