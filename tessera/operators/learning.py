@@ -38,8 +38,8 @@ def weighted(df: DataFrame, smooth: float = 0.5) -> DataFrame:
     return rows.join(F.broadcast(predictions.class_weights(rows, smooth=smooth).select("label", "weight")), "label")  # one row per class
 
 
-def train(df: DataFrame, smooth: float = 0.5, epochs: int = 10) -> PipelineModel:
-    return pipeline(epochs=epochs).fit(text_of(weighted(df, smooth)))
+def train(df: DataFrame, smooth: float = 0.5, epochs: int = 10, features: int = FEATURES) -> PipelineModel:
+    return pipeline(features, epochs).fit(text_of(weighted(df, smooth)))
 
 
 def sweep(df: DataFrame, seed: int = 42) -> PipelineModel:

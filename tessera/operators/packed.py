@@ -26,6 +26,8 @@ ALWAYS = ",;|\n\t；，、·•"
 #: An even number of backslashes, so that the next one escapes.
 EVEN = r"(?<!\\)((?:\\\\)*)"
 OPEN = {"[": "]", "(": ")", "{": "}"}
+#: Signs in all skeletons together up to which the rules are broadcast.
+RULE_CHARS = 16_000_000
 #: By kind of field: signs that belong to the value where they touch it on both sides, and whether a blank separates.
 KINDS = {"name": ("-/&+'", False), "code": ("-", True)}
 
@@ -168,7 +170,7 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
         cut.groupBy("kind", "skeleton").agg(F.count("*").alias("n")).mapInPandas(_rules, "kind string, skeleton string, n bigint, spans array<struct<at:int,n:int,esc:string>>"),
         "rules",
     )
-    if small(rules):
+    if small(rules) and rules.agg(F.coalesce(F.sum(F.length("skeleton")), F.lit(0))).first()[0] <= RULE_CHARS:
         ruled = cut.join(F.broadcast(rules.drop("n")), ["kind", "skeleton"])
     else:
         ruled = join_known(cut, rules, ["kind", "skeleton"], "n", how="inner")

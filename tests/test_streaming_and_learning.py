@@ -30,3 +30,23 @@ def test_sinks(spark, tmp_path):
     assert tables.predictions_path("/a/b/papers.parquet") == "/a/b/papers_predictions.parquet"
     tables.write_json_lines(df.selectExpr("to_json(struct(*)) AS j"), "j", str(tmp_path / "j"))
     assert tables.read_json_lines(spark, str(tmp_path / "j")).count() == 3
+
+
+def test_jobs_from_tables_to_tables(spark, tmp_path):
+    from tessera.plans import jobs
+    from tessera.sources.settings import Settings
+
+    config = tmp_path / "c.yaml"
+    config.write_text('project: x\nmodel:\n  # comment\n  num_train_epochs: 5\n  unknown: 1\n  output_dir: "m"  # quoted\nother:\n  seed: 7\n')
+    settings = Settings.read(str(config)).override(output_dir=str(tmp_path / "model"), num_train_epochs=None, nothing=3, features=256)
+    assert (settings.num_train_epochs, settings.seed, settings.features) == (5, 42, 256)
+    for name in ("train", "val", "test"):
+        labelled = spark.createDataFrame([(f"k{i}", "good data" if i % 2 else "bad method", f"a{i % 3}", i % 2, "AB"[i % 3 > 1]) for i in range(60)], "bibkey string, title string, abstract string, label int, bucket string")
+        labelled.write.parquet(str(tmp_path / f"{name}.parquet"))
+    jobs.train(spark, str(tmp_path), settings, full=True)
+    jobs.test(spark, str(tmp_path), settings, str(tmp_path / "out"))
+    read = lambda n: spark.read.parquet(str(tmp_path / "out" / f"{n}.parquet"))
+    assert read("metrics").first()["accuracy"] == 1.0 and read("metrics_by_bucket").count() == 2 and read("confusion").count() == 2
+    out = jobs.infer(spark, str(tmp_path / "test.parquet"), settings)
+    assert out.endswith("test_predictions.parquet") and spark.read.parquet(out).count() == 60
+    jobs.sweep(spark, str(tmp_path), settings)
