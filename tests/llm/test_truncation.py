@@ -55,12 +55,25 @@ def test_empty(spark):
 
 
 @pytest.mark.parametrize(("text", "tail", "marked", "kind"), [
-    ("A b. C d", "A b. C d", False, 2), ("A b.\nC d…", "A b.\nC d", True, 1), ("Title of it", "\x01Title of it", False, 0), ("a b [...]", "\x01a b", True, 0), ("a b ...", "\x01a b ...", False, 0),
+    ("A b. C d", "\x01A b. C d", False, 2), ("A b.\nC d…", "\x01A b.\nC d", True, 1), ("Title of it", "\x01Title of it", False, 0), ("a b [...]", "\x01a b", True, 0), ("a b ...", "\x01a b ...", False, 0),
     ("a 12��", "\x01a 00", True, 0), ("完。没完", "\x01完。没完", False, 2), ("a b.  \n", "\x01a b.", False, 0),
 ])
 def test_tails(spark, text, tail, marked, kind):
-    got = spark.createDataFrame([(text,)], "t string").select(*truncation.tails(truncation.F.col("t"))).first()
-    assert (got[0], got[1], got[2]) == (tail if len(text) < 20 or kind == 0 else got[0], marked, kind) or (got[0].lstrip("\x01"), got[1], got[2]) == (tail.lstrip("\x01"), marked, kind)
+    got = truncation.with_tail(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert (got["__tail"], got["__marked"], got["__kind"]) == (tail, marked, kind)
+
+
+@pytest.mark.parametrize("text", ["Ab. C d\n" + "x" * 900 + " e", "Ab " * 300 + ".\n" + " " * 900, "Ab. " * 50 + "y" * 500, "z" * 1000, " " * 900])
+def test_tails_of_long_texts(spark, text):
+    """As if the whole text were looked at."""
+    got = truncation.with_tail(spark.createDataFrame([(text,)], "t string"), "t").first()
+    want = text.rstrip()
+    if not want:
+        assert got["__tail"] is None
+        return
+    assert got["__tail"] == ("" if len(text) > truncation.NEAR_END else "\x01") + want[-truncation.TAIL :] and not got["__marked"]
+    cuts = [(i, 1) for i, c in enumerate(want[:-1]) if c == "\n"] + [(i + 1, 2) for i in range(len(want) - 2) if want[i : i + 2] == ". "]
+    assert got["__kind"] == (max(cuts)[1] if cuts else 0)
 
 
 def test_kinds_agree_with_the_text_expression(spark):
@@ -68,7 +81,7 @@ def test_kinds_agree_with_the_text_expression(spark):
     c = truncation._codes([chr(truncation.START) * truncation.NEAR + text])
     places = truncation._kinds(c)[truncation.NEAR :] % 3
     prefixes = [text[: i + 1] for i in range(len(text)) if not text[i].isspace()]
-    got = spark.createDataFrame([(p,) for p in prefixes], "t string").select(truncation.tails(truncation.F.col("t"))[2].alias("k")).collect()
+    got = spark.createDataFrame([(p,) for p in prefixes], "t string").transform(truncation.with_tail, "t").collect()
     want = [int(places[i]) for i in range(len(text)) if not text[i].isspace()]
-    assert [r["k"] for r in got] == want
+    assert [r["__kind"] for r in got] == want
     assert np.isin(places, (0, 1, 2)).all()
