@@ -30,6 +30,8 @@ OPEN = {"[": "]", "(": ")", "{": "}"}
 RULE_CHARS = 16_000_000
 #: By kind of field: signs that belong to the value where they touch it on both sides, and whether a blank separates.
 KINDS = {"name": ("-/&+'", False), "code": ("-", True)}
+#: What a field holds wherever resolve() finds a separator; the second where a blank separates.
+MAYBE, PARTED = rf"[{ALWAYS}/&+\r]|[{SPACE}][aA][nN][dD][{SPACE}]|[0-9][.:]?\)", rf"[^{SPACE}][{SPACE}]+[^{SPACE}]"
 
 
 def skeleton(tokens: Column) -> Column:
@@ -161,10 +163,10 @@ def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def split_packed(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """(key, field, pos, val): one row per value of each field that packs two or more. fields: column -> kind (name, code)."""
-    maybe = r"""[,;|/&+\n\r\t；，、·•]| and |\(\d+\)"""
+    blank = [k for k, (_, parts) in KINDS.items() if parts]
     long = df.select(key, F.inline(F.array(*(
         F.struct(F.lit(c).alias("field"), F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for c, k in fields.items()
-    )))).filter(F.col("value").rlike(maybe) | ((F.col("kind") == "code") & F.trim("value").contains(" ")))
+    )))).filter(F.col("value").rlike(MAYBE) | (F.col("kind").isin(blank) & F.col("value").rlike(PARTED)))
     cut = long.withColumn("tokens", F.regexp_extract_all("value", F.lit(TOKENS), F.lit(0))).withColumn("skeleton", skeleton(F.col("tokens")))
     rules = materialize(
         cut.groupBy("kind", "skeleton").agg(F.count("*").alias("n")).mapInPandas(_rules, "kind string, skeleton string, n bigint, spans array<struct<at:int,n:int,esc:string>>"),

@@ -33,6 +33,13 @@ def test_codes(spark):
     assert run(spark, list(cases), "code") == list(cases.values())
 
 
+def test_no_packed_field_is_filtered_out(spark):
+    cases = {"1) A 2) B": ["A", "B"], "1.) A 2.) B": ["A", "B"], "a AND b": ["a", "b"], "a And b": ["a", "b"], "a\u00a0and\u00a0b": ["a", "b"], "a\u3000and\u3000b": ["a", "b"], "a\u00a0b": [], "Band b": [], "GLUE (2018)": []}
+    assert run(spark, list(cases)) == list(cases.values())
+    codes = {"en\u00a0fr": ["en", "fr"], "en\u3000fr": ["en", "fr"], "\u00a0en\u00a0": [], " en ": []}
+    assert run(spark, list(codes), "code") == list(codes.values())
+
+
 def test_very_long_nulls_repeats_and_empty(spark):
     long = ",".join(f"v{i}" for i in range(20_000))
     a, b, c, d = run(spark, [long, None, "x, y", "x, y"])
