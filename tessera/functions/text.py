@@ -21,3 +21,8 @@ def not_blank(c: Column | str) -> Column:
 def strip(c: Column | str) -> Column:
     """Without outer white space of any kind."""
     return F.regexp_replace(as_column(c), f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
+def last_segment(c: Column | str, sign: str = "/") -> Column:
+    """What follows the last such sign; the whole text where there is none."""
+    return F.substring_index(as_column(c), sign, -1)

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
+def kappa(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
     """(n, observed, expected, kappa) of two label columns over the rows that hold both; null where chance alone agrees fully.
 
+    weight: a column that says how many rows a row stands for.
+
     One pass over the pairs' counts: the label table is small, the rows are only counted.
     """
-    pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("w"))
+    pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg((F.sum(weight) if weight else F.count("*")).cast("double").alias("w"))
     margin = pairs.select(F.inline(F.array(
         F.struct(F.col("a").alias("x"), F.col("w").alias("r"), F.lit(0.0).alias("c"), F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0).alias("d")),
         F.struct(F.col("b").alias("x"), F.lit(0.0).alias("r"), F.col("w").alias("c"), F.lit(0.0).alias("d")),

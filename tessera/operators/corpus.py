@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import signals
 from ..functions.text import not_blank
+from ..session import join_hot
 
 YEARS = (2013, 2026)
 # Venue identifiers by category. Papers are kept for all but the journals outside of ACL.
@@ -24,7 +26,22 @@ def project(records: DataFrame) -> DataFrame:
         if flag in records.columns:
             records = records.filter(~F.coalesce(F.col(flag), F.lit(False)))
     kinds = {"id": "string", "bibkey": "string", "title": "string", "abstract": "string", "authors": "array<string>", "year": "smallint", "venues": "array<string>", "doi": "string", "url": "string", "language": "string"}
-    return records.select(*((F.col(c).try_cast(k) if c in records.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()))
+
+    def field(name: str, kind: str) -> Column:
+        if name not in records.columns:
+            return F.lit(None).cast(kind)
+        t = records.schema[name].dataType
+        if kind == "array<string>" and isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType):
+            return person_names(F.col(name), t.elementType)
+        return F.col(name).try_cast(kind)
+
+    return records.select(*(field(c, k).alias(c) for c, k in kinds.items()))
+
+
+def person_names(people: Column, kind: T.StructType) -> Column:
+    """Names, first name first, of a list of people; a person is a struct of first and last, or has such a struct as name. Missing parts are left out."""
+    name = lambda p: p["name"] if "name" in kind.fieldNames() else p
+    return F.transform(people, lambda p: F.concat_ws(" ", name(p)["first"], name(p)["last"]))
 
 
 def venue_category(venues: Column) -> Column:
@@ -50,7 +67,7 @@ def with_text(papers: DataFrame, *columns: str) -> DataFrame:
 def enrich(papers: DataFrame, second: DataFrame, key: str, second_key: str, carry: list[str]) -> DataFrame:
     """Left join to a second corpus; a null abstract is filled from it, a blank one is not. Equal second keys multiply rows."""
     s = second.select(F.col(second_key).alias("__key"), F.col("abstract").alias("__abstract"), *carry)
-    joined = papers.drop(*carry).join(s, F.col(key) == F.col("__key"), "left")
+    joined = join_hot(papers.drop(*carry), s, key, "__key")
     return joined.withColumn("abstract", F.coalesce("abstract", "__abstract")).drop("__key", "__abstract")
 
 

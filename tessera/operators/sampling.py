@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import bounded, materialize
 
 
 def draw(key: str, seed: int) -> Column:
@@ -38,7 +38,7 @@ def stratified(df: DataFrame, key: str, quotas: dict[str, int], seed: int = 42,
     plan = sizes.join(whole, bucket).select(bucket, year, actual.alias("__n"), F.least(take, F.col("__g")).alias("__k"))
     before = F.coalesce(F.sum("__k").over(W.partitionBy(bucket).orderBy(year).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     plan = plan.withColumn("__k", F.greatest(F.lit(0), F.least(F.col("__k"), F.col("__n") - before))).drop("__n")
-    drawn = rows.join(plan, [bucket, year]).withColumn("__d", draw(key, seed))
+    drawn = rows.join(bounded(plan), [bucket, year]).withColumn("__d", draw(key, seed))
     return ranked(drawn, [bucket, year], "__d", key, F.col("__k")).select(*df.columns)
 
 
@@ -65,10 +65,29 @@ def ranked(df: DataFrame, groups: list[str], digest: str, key: str, limit: Colum
 def fraction(df: DataFrame, key: str, part: float, seed: int, bucket: str = "bucket") -> DataFrame:
     """Per bucket the round-half-even of part of its rows."""
     sizes = df.groupBy(bucket).agg(F.bround(F.count("*") * F.lit(part)).cast("long").alias("__k"))
-    drawn = df.join(sizes, bucket).withColumn("__d", draw(key, seed))
+    drawn = df.join(bounded(sizes), bucket).withColumn("__d", draw(key, seed))
     return ranked(drawn, [bucket], "__d", key, F.col("__k")).select(*df.columns)
 
 
+def cap(df: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """At most so many rows, drawn by the order of md5; each task sorts out its own first rows, so only these travel."""
+    return df.withColumn("__d", draw(key, seed)).orderBy("__d", key).limit(most).drop("__d")
+
+
+def enumerated(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
+    """df with the place of each row, from 0, in an order (nulls first; order should tell all rows apart).
+
+    Sorted by range over the cluster; rows count within their partition, and partitions after the rows of those before.
+    """
+    pid = F.spark_partition_id()
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", pid).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33))
+    parts = materialize(parts, "enumerated")
+    before = parts.groupBy("__p").agg(F.count("*").alias("__n"))
+    # a window over the partitions, not over the rows
+    before = before.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return parts.join(bounded(before), "__p").select(*df.columns, (F.col("__before") + F.col("__i")).alias(name))
+
+
 def without(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't in other; null keys stay."""
     return df.join(other.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")

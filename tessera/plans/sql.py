@@ -1,4 +1,4 @@
-"""DuckDB SQL of the core queries, written independently of the Spark plans."""
+"""DuckDB SQL of the core queries, written apart from the Spark plans; only the fixed signal patterns and venue lists are shared with them."""
 
 from __future__ import annotations
 
@@ -27,11 +27,11 @@ def _hit(pattern: str) -> str:
     return f"CASE WHEN regexp_matches({text}, '(?i){p}') THEN 1 ELSE 0 END"
 
 
-def _scored() -> str:
+def _scored(papers: str = f"SELECT id, title || ' ' || abstract AS t FROM anthology_enriched WHERE {FULL('title')} AND {FULL('abstract')}", key: str = "id") -> str:
     cats = ",\n".join(f"({' + '.join(map(_hit, p))})::int AS {c}" for c, p in signals.SIGNALS.items())
     return f"""
-p AS (SELECT id, title || ' ' || abstract AS t FROM anthology_enriched WHERE {FULL('title')} AND {FULL('abstract')}),
-s AS (SELECT id, {cats}, ({_hit(signals.METHOD)})::int AS introduces_method FROM p),
+p AS ({papers}),
+s AS (SELECT {key}, {cats}, ({_hit(signals.METHOD)})::int AS introduces_method FROM p),
 u AS (SELECT *, introduces + evaluates_on + benchmark_vocab AS sb, classif_explicit + classif_tasks + known_classif_benchmarks AS sc FROM s),
 v AS (SELECT * EXCLUDE (sb, sc), (sb + CASE WHEN sb >= 1 THEN benchmark_weak ELSE 0 END)::int AS benchmark_total, (sc + CASE WHEN sc >= 1 THEN classif_weak ELSE 0 END)::int AS classif_total FROM u),
 scored AS (SELECT *, CASE WHEN introduces >= 1 AND introduces_method < 1 AND classif_total >= 1 THEN 'A'
@@ -83,8 +83,26 @@ t AS (SELECT label, held, f + CASE WHEN k <= (SELECT test FROM m) - (SELECT sum(
 r AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || row_id), row_id) AS rn FROM l),
 split AS (SELECT row_id, label, CASE WHEN rn <= test THEN 'test' WHEN rn <= held THEN 'val' ELSE 'train' END AS split FROM r JOIN t USING (label))"""
 
-ANSWERS = """answers AS (SELECT rec_id::varchar AS key, rec_id % 31 <> 0 AND rec_id % 37 <> 0 AND rec_id % 41 <> 0 AND label IN ('POSITIVE', 'NEGATIVE', 'UNSURE') AND reasoning IS NOT NULL AND justification IS NOT NULL AS valid, *
+ANSWERS = """answers AS (SELECT rec_id::varchar AS key, rec_id % 29 <> 0 AND rec_id % 31 <> 0 AND rec_id % 37 <> 0 AND rec_id % 41 <> 0 AND label IN ('POSITIVE', 'NEGATIVE', 'UNSURE') AND reasoning IS NOT NULL AND justification IS NOT NULL AS valid, *
     FROM paper_taxonomy), parsed AS (SELECT * REPLACE (coalesce(valid, false) AS valid) FROM answers)"""
+PARSED = f"WITH {ANSWERS} SELECT key, valid, " + ", ".join(f"CASE WHEN valid THEN {c} END AS {c}" for c in ("label", "reasoning", "justification", "task_type", "input_type", "domain", "is_multitask", "languages", "benchmark_names")) + " FROM parsed"
+
+# What request lines say besides the message: the schema of an answer, in either form.
+FIELDS = (
+    ("reasoning", "string"), ("label", "label"), ("justification", "string"), ("benchmark_names", "array"), ("task_type", "string"), ("input_type", "string"), ("label_type", "string"),
+    ("domain", "string"), ("languages", "array"), ("data_source", "string"), ("benchmark_novelty", "string"), ("is_multitask", "boolean"),
+)
+MUST = '"required":["reasoning","label","justification"]'
+KINDS = {"string": '{"type":"string"}', "boolean": '{"type":"boolean"}', "array": '{"type":"array","items":{"type":"string"}}', "label": '{"$ref":"#/$defs/Label"}'}
+UPPER = {"string": '"type":"STRING"', "boolean": '"type":"BOOLEAN"', "array": '"type":"ARRAY","items":{"type":"STRING"}', "label": '"type":"STRING","enum":["POSITIVE","NEGATIVE","UNSURE"]'}
+JSON_SCHEMA = (
+    '{"$defs":{"Label":{"type":"string","enum":["POSITIVE","NEGATIVE","UNSURE"]}},"type":"object","properties":{'
+    + ",".join(f'"{n}":{KINDS[k]}' if i < 3 else f'"{n}":{{"anyOf":[{KINDS[k]},{{"type":"null"}}],"default":null}}' for i, (n, k) in enumerate(FIELDS)) + "}," + MUST + "}"
+)
+TYPED_SCHEMA = '{"type":"OBJECT","properties":{' + ",".join(f'"{n}":{{{UPPER[k]}' + ("}" if i < 3 else ',"nullable":true}') for i, (n, k) in enumerate(FIELDS)) + "}," + MUST + "}"
+PROMPT = "Decide whether the paper introduces a new benchmark for text classification."
+MESSAGE = "'Title: ' || coalesce(title, '') || chr(10) || 'Abstract: ' || coalesce(abstract, '')"
+KEYWORDS = lambda t: f"""CASE WHEN {' OR '.join(f"contains(lower({t}), '{a} {b}')" for a in ('new', 'novel') for b in ('dataset', 'corpus', 'benchmark'))} THEN 'POSITIVE'"""
 
 THREE = f"""three AS (SELECT bibkey, {', '.join(f"{CLEAN(c)} AS {c}" for c in ('google_label', 'deepseek_label', 'mistral_label'))} FROM (SELECT *, row_number() OVER
     (PARTITION BY bibkey ORDER BY merged_at DESC NULLS LAST, google_label DESC NULLS LAST, deepseek_label DESC NULLS LAST, mistral_label DESC NULLS LAST) AS rn FROM results_merged WHERE bibkey IS NOT NULL) WHERE rn = 1)"""
@@ -104,8 +122,12 @@ def _provider(name: str) -> str:
     FROM paper_taxonomy WHERE provider = '{name}' AND bibkey IS NOT NULL) WHERE rn = 1)"""
 
 
-PREDICTED = """x AS (SELECT 'k' || vec_id AS bibkey, (label % 2)::int AS label, CASE vec_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS bucket, 6 * embedding[1]::double AS l0, 6 * embedding[2]::double AS l1 FROM embeddings),
-predicted AS (SELECT bibkey, label, bucket, (l1 > l0)::int AS predicted, 1 / (1 + exp(-abs(l1 - l0))) AS confidence, 1 / (1 + exp(l0 - l1)) AS prob_positive FROM x)"""
+_TEST = f"SELECT row_id, bibkey, label, upper({STRIP('bucket')}) AS stratum, title || ' ' || abstract AS t FROM test WHERE label IS NOT NULL AND {FULL('title')} AND {FULL('abstract')}"
+PREDICTED = f"""{_scored(_TEST, 'row_id, bibkey, label, stratum')},
+x AS (SELECT row_id, bibkey, label, stratum AS bucket, 0.75::double AS l0, 0.8::double * introduces + 0.4::double * classif_total + 0.3::double * benchmark_vocab - 0.6::double * introduces_method AS l1 FROM scored),
+predicted AS (SELECT row_id, bibkey, label, bucket, (l1 > l0)::int AS predicted, 1 / (1 + exp(-abs(l1 - l0))) AS confidence, 1 / (1 + exp(l0 - l1)) AS prob_positive FROM x)"""
+UNION_LABELS = f"""a AS (SELECT bibkey, CASE {CLEAN('claude_label')} WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN 0 END AS label, 0 AS part FROM merged UNION ALL SELECT bibkey, label, 1 FROM test),
+            r AS (SELECT *, row_number() OVER (PARTITION BY bibkey ORDER BY part, label NULLS FIRST) AS rn FROM a)"""
 METRICS = """count(*) AS n, count(*) FILTER (label = 1 AND predicted = 1) AS tp, count(*) FILTER (label <> 1 AND predicted = 1) AS fp, count(*) FILTER (label = 1 AND predicted <> 1) AS fn,
   round(avg(CASE WHEN label = predicted THEN 1.0::double ELSE 0 END), 6) AS accuracy,
   round(coalesce(count(*) FILTER (label = 1 AND predicted = 1)::double / nullif(count(*) FILTER (predicted = 1), 0), 0), 6) AS precision,
@@ -117,7 +139,13 @@ ROWS3 = lambda c: " UNION ALL ".join(f"SELECT {c}, '{t}' AS split FROM {t}" for
 
 def statements() -> dict[str, str]:
     return {
-        "catalog_projection": "SELECT id, bibkey, title, year::int AS year, authors[1] AS first_author, coalesce(len(venues), 0)::int AS n_venues, doi FROM anthology_enriched",
+        "catalog_projection": "SELECT id, bibkey, title, abstract, year::int AS year, authors[1] AS first_author, array_to_string(authors, '; ') AS authors, array_to_string(venues, '; ') AS venues, doi, url, language FROM anthology_enriched",
+        "catalog_authors": "SELECT id, array_to_string(authors, '; ') AS authors FROM anthology_enriched",
+        "last_segments": "SELECT id, string_split(url, '/')[-1] AS segment FROM anthology_enriched",
+        "run_names": "SELECT rec_id, provider || '_test_' || strftime(received_at, '%Y%m%d_%H%M') AS run FROM paper_taxonomy",
+        "random_cap": "SELECT bibkey FROM (SELECT DISTINCT bibkey FROM anthology_enriched WHERE year >= 2025 AND bibkey IS NOT NULL) ORDER BY md5('42:' || bibkey), bibkey LIMIT 300",
+        "head_rows": "SELECT row_id, bibkey, title FROM train ORDER BY row_id LIMIT 5",
+        "enumerated_rows": "SELECT row_id, bibkey, row_number() OVER (ORDER BY row_id) - 1 AS idx FROM train",
         "signal_scores": f"WITH {_scored()} SELECT * FROM scored",
         "bucket_counts": f"WITH {_scored()} SELECT bucket, count(*) AS n FROM scored GROUP BY bucket",
         "corpus_clean": f"SELECT id, bibkey, year, {CATEGORY} AS venue_type FROM anthology_enriched WHERE {KEPT}",
@@ -135,10 +163,18 @@ def statements() -> dict[str, str]:
             {_stratified('s', 'rest', SECOND, 42)} SELECT * FROM s""",
         "split_70_15_15": f"{SPLIT} SELECT * FROM split",
         "split_70_15_15_sizes": f"{SPLIT} SELECT split, label, count(*) AS n FROM split GROUP BY ALL",
-        "label_parse": f"WITH {ANSWERS} SELECT key, valid, CASE WHEN valid THEN label END AS label, CASE WHEN valid THEN task_type END AS task_type, CASE WHEN valid THEN is_multitask END AS is_multitask, CASE WHEN valid THEN languages END AS languages FROM parsed",
-        "label_parse_errors": f"WITH {ANSWERS} SELECT count(*) AS n, count(*) FILTER (NOT valid) AS n_errors FROM parsed",
+        "label_parse": PARSED,
+        "label_parse_google": PARSED,
+        "label_parse_claude": PARSED,
+        "label_parse_errors": f"WITH {ANSWERS} SELECT provider, n, n_errors FROM (SELECT count(*) AS n, count(*) FILTER (NOT valid) AS n_errors FROM parsed), (VALUES ('mistral'), ('google'), ('claude')) v(provider)",
         "label_merge_left": f"WITH {ANSWERS} SELECT key AS bibkey, provider, CASE WHEN valid THEN label END AS mistral_label, CASE WHEN valid THEN task_type END AS mistral_task_type, CASE WHEN valid THEN domain END AS mistral_domain FROM parsed",
-        "request_lines": "SELECT provider, row_id::varchar AS name, 'Title: ' || coalesce(title, '') || chr(10) || 'Abstract: ' || coalesce(abstract, '') AS content FROM train, (VALUES ('mistral'), ('google'), ('claude')) v(provider)",
+        "request_lines": f"""SELECT provider, row_id::varchar AS name, {MESSAGE} AS content, '{PROMPT}' AS prompt, CASE WHEN provider <> 'google' THEN 'model-1' END AS model,
+            CASE WHEN provider = 'google' THEN '{TYPED_SCHEMA}' ELSE '{JSON_SCHEMA}' END AS schema, CASE WHEN provider = 'claude' THEN '1024' ELSE '0.0' END AS number
+            FROM train, (VALUES ('mistral'), ('google'), ('claude')) v(provider) WHERE row_id IS NOT NULL""",
+        "bounded_labels": f"""SELECT row_id, CASE WHEN length(coalesce(title, '')) % 5 >= 3 THEN 'UNSURE' ELSE {KEYWORDS("coalesce(title, '') || ' ' || coalesce(abstract, '')")} WHEN {FULL('abstract')} THEN 'NEGATIVE' ELSE 'UNSURE' END END AS stub_label,
+            CASE WHEN length(coalesce(title, '')) % 5 >= 3 THEN 'API Error' ELSE 'keywords' END AS stub_justification FROM val""",
+        "batch_labels": f"""WITH m AS (SELECT row_id::varchar AS row_id, {MESSAGE} AS m FROM train) SELECT row_id, CASE WHEN length(m) % 7 <> 0 THEN {KEYWORDS("m")} ELSE 'UNSURE' END END AS google_label,
+            CASE WHEN length(m) % 7 <> 0 THEN 'keywords' END AS google_justification FROM m""",
         "kappa_pairs": f"WITH {THREE} " + " UNION ALL ".join(_kappa(a, b) for a, b in (("google_label", "deepseek_label"), ("google_label", "mistral_label"), ("deepseek_label", "mistral_label"))),
         "confusion_long": f"WITH {THREE} SELECT google_label, mistral_label, count(*) AS n FROM three WHERE google_label IS NOT NULL AND mistral_label IS NOT NULL GROUP BY ALL",
         "confusion_matrix": f"""WITH {THREE}, l(google_label) AS (VALUES ('NEGATIVE'), ('POSITIVE'), ('UNSURE'))
@@ -154,19 +190,20 @@ def statements() -> dict[str, str]:
         "ready_split": f"""WITH m AS (SELECT bibkey, {CLEAN('claude_label')} AS l FROM (SELECT *, row_number() OVER (PARTITION BY bibkey ORDER BY labelled_at DESC NULLS LAST, claude_label DESC NULLS LAST) AS rn FROM merged WHERE bibkey IS NOT NULL) WHERE rn = 1),
             p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bibkey ORDER BY loaded_at DESC NULLS LAST, title DESC NULLS LAST, abstract DESC NULLS LAST) AS rn FROM anthology_enriched WHERE bibkey IS NOT NULL) WHERE rn = 1)
             SELECT bibkey, title, abstract, CASE l WHEN 'POSITIVE' THEN 1 ELSE 0 END AS label FROM m JOIN p USING (bibkey) WHERE l IN ('POSITIVE', 'NEGATIVE') AND {FULL('title')} AND {FULL('abstract')}""",
-        "label_union_dedup": f"""WITH a AS (SELECT bibkey, CASE {CLEAN('claude_label')} WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN 0 END AS label, 0 AS part FROM merged UNION ALL SELECT bibkey, label, 1 FROM test),
-            r AS (SELECT *, row_number() OVER (PARTITION BY bibkey ORDER BY part, label NULLS FIRST) AS rn FROM a)
-            SELECT bibkey, label::int AS label, CASE label WHEN 1 THEN 'POSITIVE' WHEN 0 THEN 'NEGATIVE' END AS label_name FROM r WHERE rn = 1""",
+        "label_union_dedup": f"WITH {UNION_LABELS} SELECT bibkey, label::int AS label, CASE label WHEN 1 THEN 'POSITIVE' WHEN 0 THEN 'NEGATIVE' END AS label_name FROM r WHERE rn = 1",
+        "predictions_with_labels": f"""WITH {PREDICTED}, {LATEST}, {UNION_LABELS} SELECT row_id, bibkey, predicted, latest.year, latest.bucket, CASE r.label WHEN 1 THEN 'POSITIVE' WHEN 0 THEN 'NEGATIVE' END AS llm_label
+            FROM predicted JOIN latest USING (bibkey) JOIN r USING (bibkey) WHERE rn = 1""",
+        "label_domain": f"WITH {THREE} SELECT string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT google_label AS label FROM three UNION SELECT mistral_label FROM three) WHERE label IS NOT NULL",
         "split_summary_total": f"""WITH r AS ({ROWS3('bucket')}), c AS (SELECT bucket, {', '.join(f"count(*) FILTER (split = '{t}') AS {t}" for t in ('train', 'val', 'test'))} FROM r WHERE bucket IS NOT NULL GROUP BY bucket)
             SELECT * FROM c UNION ALL SELECT 'Total', sum(train)::bigint, sum(val)::bigint, sum(test)::bigint FROM c""",
         "split_key_union": f"WITH r AS ({ROWS3('bibkey')}) SELECT count(*) AS n_rows, count(DISTINCT bibkey) AS n_keys FROM r",
         "split_overlap_check": "SELECT split, count(*) AS n FROM (SELECT bibkey, 'val' AS split FROM val UNION ALL SELECT bibkey, 'test' FROM test) WHERE bibkey IN (SELECT bibkey FROM train WHERE bibkey IS NOT NULL) GROUP BY split",
-        "predictions_softmax": f"WITH {PREDICTED} SELECT bibkey, label, bucket, predicted, round(confidence, 6) AS confidence, round(prob_positive, 6) AS prob_positive FROM predicted",
-        "uncertain_predictions": f"WITH {PREDICTED} SELECT bibkey, predicted, round(confidence, 6) AS confidence FROM predicted WHERE confidence < 0.7",
+        "predictions_softmax": f"WITH {PREDICTED} SELECT row_id, bibkey, label, bucket, predicted, round(confidence, 6) AS confidence, round(prob_positive, 6) AS prob_positive FROM predicted",
+        "uncertain_predictions": f"WITH {PREDICTED} SELECT row_id, predicted, round(confidence, 6) AS confidence FROM predicted WHERE confidence < 0.7",
         "metrics_overall": f"WITH {PREDICTED} SELECT {METRICS} FROM predicted",
-        "metrics_by_bucket": f"WITH {PREDICTED} SELECT bucket, {METRICS} FROM predicted GROUP BY bucket",
+        "metrics_by_bucket": f"WITH {PREDICTED} SELECT bucket, {METRICS} FROM predicted WHERE bucket IS NOT NULL GROUP BY bucket",
         "confusion_by_bucket": f"WITH {PREDICTED} SELECT bucket, label, predicted, count(*) AS n FROM predicted GROUP BY ALL",
-        "best_bucket": f"WITH {PREDICTED}, m AS (SELECT bucket, {METRICS} FROM predicted GROUP BY bucket) SELECT bucket, f1 FROM m ORDER BY f1 DESC, bucket LIMIT 1",
+        "best_bucket": f"WITH {PREDICTED}, m AS (SELECT bucket, {METRICS} FROM predicted WHERE bucket IS NOT NULL GROUP BY bucket) SELECT bucket, f1 FROM m ORDER BY f1 DESC, bucket LIMIT 1",
         "class_weights": f"WITH {WEIGHTS('train')} SELECT label, n, round(weight, 6) AS weight FROM w",
         "weighted_loss": f"WITH {PREDICTED}, {WEIGHTS('predicted')} SELECT round(sum(-weight * ln(CASE WHEN label = 1 THEN prob_positive ELSE 1 - prob_positive END)) / sum(weight), 4) AS loss FROM predicted JOIN w USING (label)",
     }

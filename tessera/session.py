@@ -55,10 +55,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Plan nodes that leave the partitions of a scan as they are.
+NARROW = {"Project", "Filter", "Generate", "Union", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "MapInPandas", "MapInArrow"}
+
+
+def leaf_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, as the scans state them; nothing runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()) if leaves.apply(i).nodeName() == "LogicalRelation"]
+    return sum(sizes)
+
+
+def _narrow(plan) -> bool:
+    children = plan.children()
+    return plan.nodeName() in NARROW and all(_narrow(children.apply(i)) for i in range(children.size()))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by keys before a Python stage, only where the scan has fewer partitions than the cluster has cores twice over."""
-    want = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
+    """Hash-partition by keys (none: evenly) before a Python stage, only where df has fewer partitions than the cluster has cores twice over.
+
+    Above a plain scan the partitions are counted; elsewhere the bytes of the scans tell, as counting would run the plan.
+    """
+    spark = df.sparkSession
+    want = 2 * spark.sparkContext.defaultParallelism
+    if _narrow(df._jdf.queryExecution().optimizedPlan()):
+        have = df.rdd.getNumPartitions()
+    else:
+        have = leaf_bytes(df) // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df if have >= want else df.repartition(want, *keys)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -66,6 +90,35 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df for a broadcast, computed once, where it has at most so many rows; a larger one as it is."""
+    got = df.limit(rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema)) if len(got) <= rows else df
+
+
+#: Scans of fewer bytes hold no key that would be too much for one task.
+HOT_BYTES = 4 << 30
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, right_key: str, parts: int = 64) -> DataFrame:
+    """Left join of left[key] to right[right_key], where one key may hold a large part of left.
+
+    Keys with more than 1/parts of left's rows (fewer than ``parts`` keys) meet their rows of right by broadcast, if these
+    are few; all others are shuffled. Of a small left side no key is hot.
+    """
+    plain = lambda a, b: a.join(b, a[key] == b[right_key], "left")
+    if leaf_bytes(left) < HOT_BYTES:
+        return plain(left, right)
+    counts = materialize(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")), "keys")
+    cut = (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // parts
+    hot = [r[key] for r in counts.filter(F.col("n") > cut).collect()]  # fewer than parts
+    some = right.filter(F.col(right_key).isin(hot))
+    if not hot or not small(some):
+        return plain(left, right)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return plain(left.filter(is_hot), F.broadcast(some)).unionByName(plain(left.filter(~is_hot), right.filter(~F.col(right_key).isin(hot))))
+
+
 def join_known(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "left", parts: int = 64) -> DataFrame:
     """Join left to right (unique on keys), where right[weight] is how many rows of left hold the key.
 

@@ -27,6 +27,11 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
 
 
+def all_exist(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether all outputs of a job are there, so that it can be left out."""
+    return all(table_exists(spark, p) for p in paths)
+
+
 def predictions_path(input_path: str) -> str:
     """``<folder>/<stem>_predictions.parquet`` beside the input."""
     p = PurePosixPath(input_path)

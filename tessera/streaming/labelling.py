@@ -8,17 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import annotators
+from ..operators.labels import Task
 from ..session import shared_dir
 
 #: Takes a batch and adds the column label; unable to tell, it says UNSURE.
 Annotator = Callable[[DataFrame], DataFrame]
 
 
-def keyword_annotator(batch: DataFrame) -> DataFrame:
-    """An offline annotator: POSITIVE where title or abstract speak of a new dataset, UNSURE without an abstract."""
-    text = F.concat_ws(" ", "title", "abstract")
-    label = F.when(F.col("abstract").isNull(), "UNSURE").when(text.rlike(r"(?i)\b(?:new|novel)\s+(?:dataset|corpus|benchmark)\b"), "POSITIVE").otherwise("NEGATIVE")
-    return batch.withColumn("label", label)
+def annotator(provider: str, task: Task, **how) -> Annotator:
+    """A registered provider as the annotator of a stream, with its retries and its bound on calls; errors become UNSURE."""
+    return lambda batch: annotators.label_rows(batch, provider, task, **how).withColumn("label", F.col(f"{provider}_label"))
 
 
 def run(spark: SparkSession, path: str, annotate: Annotator, target: str | None = None, files: int = 50) -> DataFrame:
@@ -33,9 +33,11 @@ def run(spark: SparkSession, path: str, annotate: Annotator, target: str | None
     def write(batch: DataFrame, number: int) -> None:
         annotate(batch).select("row_id", "label").write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
 
-    # a stream reads folders; a single file is matched by its name
-    where = path if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isDirectory() else f"{path}*"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(where)
+    # a stream reads folders; a single file is the one of that name in its folder
+    files_of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = not files_of.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(files_of).isDirectory()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    stream = reader.option("pathGlobFilter", files_of.getName()).parquet(files_of.getParent().toString()) if single else reader.parquet(path)
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("row_id bigint, label string, batch int").parquet(f"{target}/rows").select("row_id", "label")

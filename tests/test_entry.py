@@ -37,3 +37,12 @@ def test_query_equals_its_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(e.queries()) - set(e.oracle_sql())))
 def test_query_runs(spark, name):
     e.queries()[name](spark, DATA).count()
+
+
+def test_core_queries_stand_without_the_subpackages_needs():
+    """Where what the subpackage needs cannot be imported, the core queries are still there."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) >= 44 and 'p1_found' not in q and 'bucket_counts' in q and set(s) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(e.__file__))
