@@ -85,3 +85,27 @@ def test_kinds_agree_with_the_text_expression(spark):
     want = [int(places[i]) for i in range(len(text)) if not text[i].isspace()]
     assert [r["__kind"] for r in got] == want
     assert np.isin(places, (0, 1, 2)).all()
+
+
+@pytest.mark.parametrize("tail", ["word" + " " * 385, "word" + "\ufffd" * 60, "word" + "\ufffd" * 900, "word" + "\ufffd" * 30 + " " * 370])
+def test_tails_behind_many_blanks_and_broken_bytes(spark, tail):
+    text = "Ab cd ef. " * 100 + tail
+    got = truncation.with_tail(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert (got["__tail"], got["__marked"], got["__kind"]) == ((("Ab cd ef. " * 100) + "word")[-truncation.TAIL :], "\ufffd" in tail, 2)
+
+
+def test_broadcast_and_joined_ends_agree(spark, monkeypatch):
+    rows = make(1200, 3)
+    near = run(spark, rows)
+    monkeypatch.setattr(truncation, "OUTER_GRAMS", 10)
+    assert run(spark, rows) == near and 20 < sum(near.values())
+
+
+def test_near_copies_do_not_vouch_for_each_other(spark):
+    """Each text ten times, with another name in it."""
+    rng, rows = random.Random(5), make(600, 5)
+    names = ["".join(rng.choice("bdgklm") + rng.choice("aeiou") for _ in range(3)) for _ in range(6000)]
+    copies = [(10 * i + j, f"{names[10 * i + j].capitalize()} shows this. {t}", lang, s, cut) for i, t, lang, s, cut in rows for j in range(10)]
+    got = run(spark, copies)
+    hit = sum(got[r[0]] and r[4] for r in copies)
+    assert hit / sum(r[4] for r in copies) > 0.9 and hit / sum(got.values()) > 0.9
