@@ -62,7 +62,7 @@ NARROW = {"Project", "Filter", "Generate", "Union", "LogicalRelation", "LocalRel
 def leaf_bytes(df: DataFrame) -> int:
     """Bytes of the files that df reads, as the scans state them; nothing runs."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()) if leaves.apply(i).nodeName() == "LogicalRelation"]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()) if leaves.apply(i).nodeName() == "LogicalRelation"]
     return sum(sizes)
 
 
