@@ -5,11 +5,14 @@ probabilities (method C) give the exact code length of a sentence under frozen s
 sentences, where changing the language costs SWITCH bits, gives the segments; the languages seen with a venue are the
 prior of a document's first language.
 
-The models are fitted on at most TEXTS labelled texts per language, chosen by hash; labels may be wrong, so only those
-sentences are used that plain byte string frequencies give to the language of the label, too. All documents are scored whole. The code length
+The models are fitted on a sample of at most about TEXTS different labelled texts and CHARACTERS characters per language,
+chosen by hash on the cluster; labels may be wrong, so only those sentences are used that plain byte string frequencies
+give to the language of the label, too. Confidence is calibrated on sentences that the models compared have not seen: the
+share of the evidence in bits that makes their labels likeliest. All documents are scored whole. The code length
 of a place depends on its last ORDER + 1 bytes only, so it is computed once per distinct such string in a batch.
 
-Null and blank texts give no segment. A language without labelled texts is never given. Of rows with equal keys the one
+Null and blank texts give no segment. A language without labelled texts is never given. Texts of more than
+LONGEST characters are scored, but are no training texts. Of rows with equal keys the one
 loaded last counts (ties: the larger hash). Very short texts follow the prior. Null venues give no hint.
 """
 
@@ -25,13 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE, not_blank
-from ..session import materialize, ship, small, spread
+from ..session import join_known, materialize, ship, small, spread
 
 ORDER = 4
 #: Bound of the training sample: labelled texts per language, and characters used of all of one language's.
 TEXTS, CHARACTERS = 1_500, 600_000
 #: Longer texts are no training texts (they are scored whole like all others).
 LONGEST = 20_000
+#: Every so many sentences of the sample one is held out for the calibration of confidence.
+HELD_OUT = 5
+#: Venues that are broadcast at most.
+VENUES = 100_000
 #: Bits that a change of language costs.
 SWITCH = 14.0
 BATCH_BYTES = 1_000_000
@@ -194,24 +201,16 @@ def path(bits: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, languages: list[str]) -> dict[str, list[str]]:
-    """labelled: text, lang (codes). At most about TEXTS texts of each language, by hash, as sentences."""
-    full = labelled.filter(not_blank("text") & F.col("lang").isin(languages) & (F.length("text") <= LONGEST))
-    counts = {r["lang"]: r["count"] for r in full.groupBy("lang").count().collect()}  # one row per language
-    h = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    """labelled: text, lang (codes). Different texts of each language, by hash, as sentences; at most about TEXTS and CHARACTERS a language."""
+    full = labelled.filter(not_blank("text") & F.col("lang").isin(languages) & (F.length("text") <= LONGEST)).withColumn("h", F.xxhash64("text"))
+    counts = full.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()  # one row per language
     limit = F.lit(0)
-    for x, n in sorted(counts.items()):
-        limit = F.when(F.col("lang") == x, int(np.ceil(1e6 * min(1, TEXTS / n)))).otherwise(limit)
-    rows = full.filter(h < limit).select("lang", "text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(2 * TEXTS * len(languages)).toPandas()
-    out = {}
-    for x, g in rows.groupby("lang"):
-        parts, size = [], 0
-        for t in g["text"]:
-            if size < CHARACTERS:
-                s = sentences(t)
-                parts += s
-                size += sum(map(len, s))
-        out[x] = parts
-    return out
+    for r in sorted(counts, key=lambda r: r["lang"]):
+        limit = F.when(F.col("lang") == r["lang"], int(np.ceil(1e9 * min(1, TEXTS / r["n"], CHARACTERS / max(r["size"], 1))))).otherwise(limit)
+    # copies count once; of a hash there is one text
+    some = full.filter(F.pmod("h", F.lit(1_000_000_000)) < limit).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = some.toPandas().sort_values(["lang", "h"])
+    return {x: [p for t in g["text"] for p in sentences(t)] for x, g in rows.groupby("lang")}
 
 
 def agreeing(texts: dict[str, list[str]]) -> dict[str, list[str]]:
@@ -235,20 +234,43 @@ def agreeing(texts: dict[str, list[str]]) -> dict[str, list[str]]:
     return {x: p for x, p in out.items() if p}
 
 
-def fit(labelled: DataFrame, languages: list[str]) -> Model:
+def fit(labelled: DataFrame, languages: list[str]) -> tuple[Model, float]:
+    """The models, and the share of the evidence that counts for confidence."""
     texts = {x: p for x, p in sample(labelled, languages).items() if p}
     for _ in range(2):
         texts = agreeing(texts) if texts else texts
-    return Model.fit(texts)
+    return Model.fit(texts), calibrated(texts)
+
+
+def calibrated(texts: dict[str, list[str]]) -> float:
+    """The factor of the bits under which the languages of held-out sentences (every HELD_OUT-th) are likeliest; with too few of them one tenth."""
+    held = {x: p[::HELD_OUT] for x, p in texts.items()}
+    rest = {x: [s for i, s in enumerate(p) if i % HELD_OUT] for x, p in texts.items()}
+    model = Model.fit(rest)
+    parts = [(s, model.languages.index(x)) for x, p in held.items() if x in model.languages for s in p]
+    if len(parts) < 100 or len(model.languages) < 2:
+        return 0.1
+    bits = model.lengths([s for s, _ in parts])
+    own = np.array([i for _, i in parts])
+    best, factor = np.inf, 0.1
+    for f in np.geomspace(0.005, 1, 60):
+        z = -(bits - bits.min(1, keepdims=True)) * f * np.log(2)
+        loss = (np.log(np.exp(z).sum(1)) - z[np.arange(len(own)), own]).mean()
+        if loss < best - 1e-12:
+            best, factor = loss, float(f)
+    return factor
+
 
+def venue_counts(df: DataFrame, venues: str, lang: Column, languages: list[str]) -> DataFrame:
+    """(v, n, times): how many rows of each language hold a venue, and how many rows at all."""
+    rows = df.select(F.explode(F.array_distinct(F.coalesce(F.col(venues), F.array().cast("array<string>")))).alias("v"), lang.alias("l")).filter(F.col("v").isNotNull())
+    counts = rows.groupBy("v").agg(F.count("*").alias("times"), *(F.count_if(F.col("l") == x).alias(f"n{i}") for i, x in enumerate(languages)))
+    return counts.select("v", F.array(*(f"n{i}" for i in range(len(languages)))).alias("n"), "times")
 
-def hints(df: DataFrame, venues: str, lang: Column, languages: list[str]) -> dict[str, np.ndarray]:
-    """Bits of each language by venue, of the thousand most frequent venues; '' is that of all."""
-    rows = df.select(F.explode(F.array_distinct(F.coalesce(F.col(venues), F.array().cast("array<string>")))).alias("v"), lang.alias("l")).filter(F.col("l").isin(languages) & F.col("v").isNotNull())
-    counts = rows.groupBy("v").pivot("l", languages).count().fillna(0)
-    top = counts.orderBy(F.desc(sum((F.col(x) for x in languages), F.lit(0))), "v").limit(1000).collect()
-    out = {r["v"]: np.array([r[x] for x in languages], float) for r in top}
-    return {v: -np.log2((n + 1) / (n.sum() + len(languages))) for v, n in out.items()}
+
+def hint(n: np.ndarray) -> np.ndarray:
+    """Bits of each language by how often each is seen with a venue; none where no language is."""
+    return -np.log2((n + 1) / (n.sum() + len(n))) if n.sum() else np.zeros(len(n))
 
 
 def latest(df: DataFrame, key: str, time: str, *content: str) -> DataFrame:
@@ -266,19 +288,32 @@ def latest(df: DataFrame, key: str, time: str, *content: str) -> DataFrame:
     return once.unionByName(twice).drop("__o")
 
 
+def with_hints(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with hints, the counts of their venues, by a join on the venue. rows has key, text, label, venues."""
+    each = rows.filter(F.size(F.coalesce("venues", F.array())) > 0).select("key", F.explode(F.array_distinct("venues")).alias("v"))
+    seen = join_known(each, counts, ["v"], "times", how="inner").groupBy("key").agg(F.collect_list("n").alias("hints"))
+    return rows.drop("hints").join(seen, "key", "left").select("key", "text", "label", "venues", "hints")
+
+
 def segments(df: DataFrame, key: str, text: str, lang: str, labelled: DataFrame, languages: list[str], venues: str | None = None) -> DataFrame:
     """(key, label, n_segs, seg, lang, confidence): one row per longest run of sentences in one language.
 
     label: code of the language that the row names, null if none. labelled: text, lang (codes).
     """
-    model = fit(labelled, languages)
-    prior = hints(df, venues, code(F.col(lang)), model.languages) if venues and model.languages else {}
-    known = df.sparkSession.sparkContext.broadcast((model.__dict__, prior))
+    model, factor = fit(labelled, languages)
     rows = df.filter(not_blank(text)).select(F.col(key).alias("key"), F.col(text).alias("text"), code(F.col(lang)).alias("label"), (F.col(venues) if venues else F.lit(None).cast("array<string>")).alias("venues"))
-    kind = df.schema[key].dataType.simpleString()
+    kind, prior = df.schema[key].dataType.simpleString(), {}
+    rows = rows.withColumn("hints", F.lit(None).cast("array<array<bigint>>"))
+    if venues and model.languages:
+        counts = materialize(venue_counts(df, venues, code(F.col(lang)), model.languages), "venues")
+        if small(counts, VENUES):
+            prior = {r["v"]: np.array(r["n"], float) for r in counts.collect()}  # checked just now
+        else:
+            rows = with_hints(rows, counts)
+    known = df.sparkSession.sparkContext.broadcast((model.__dict__, prior, factor))
 
     def run(batches):
-        state, prior = known.value
+        state, prior, factor = known.value
         model = Model.of(state)
         flat = np.zeros(len(model.languages))
         for b in batches:
@@ -287,17 +322,18 @@ def segments(df: DataFrame, key: str, text: str, lang: str, labelled: DataFrame,
             parts = [sentences(t) for t in b["text"]]
             bits = model.lengths([p for s in parts for p in s])
             out, at = [], 0
-            for k, label, venue, s in zip(b["key"], b["label"], b["venues"], parts):
+            for k, label, venue, seen, s in zip(b["key"], b["label"], b["venues"], b["hints"], parts):
                 own = bits[at : at + len(s)]
                 at += len(s)
                 if not len(s):
                     continue
-                first = sum((prior[v] for v in (venue if venue is not None else ()) if v in prior), flat)
+                counts = seen if seen is not None else [prior[v] for v in dict.fromkeys(venue if venue is not None else ()) if v in prior]
+                first = sum((hint(np.asarray(n, float)) for n in counts), flat)
                 way = path(own, np.asarray(first))
                 cuts = np.r_[0, np.flatnonzero(np.diff(way)) + 1, len(way)]
                 for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
                     gap = own[x:y].sum(0) - own[x:y, way[x]].sum()
-                    sure = 1 / np.exp2(-np.clip(gap / 10, -30, 1000)).sum()  # sentences' bytes are far from independent: a tenth of the evidence
+                    sure = 1 / np.exp2(-np.clip(gap * factor, -30, 1000)).sum()
                     out.append((k, label, len(cuts) - 1, i + 1, model.languages[way[x]], float(sure)))
             yield pd.DataFrame(out, columns=["key", "label", "n_segs", "seg", "lang", "confidence"])
 

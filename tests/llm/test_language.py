@@ -104,3 +104,32 @@ def test_latest_row_per_key(spark):
     df = spark.createDataFrame([(k, datetime(2020, 1, t) if t else None, v) for k, t, v in rows], "id string, t timestamp_ntz, v string")
     got = sorted((r["id"], r["v"]) for r in language.latest(df, "id", "t", "v").collect())
     assert got[:3] == [("a", "new"), ("b", "y"), ("c", "same")] and got[3][0] == "d" and len(got) == 4
+
+
+def test_broadcast_and_joined_venues_agree(spark, labelled, monkeypatch):
+    rows = [row(f"k{i}", TEXTS["fr" if i % 2 else "de"], "fr" if i % 2 else "de", [f"v{i % 2}", f"w{i}"]) for i in range(40)]
+    rows += [row("short0", "?!", None, ["v0", "v0", None]), row("short1", "?!", None, ["v1"]), row("none", "?!", None, []), row("null", "?!", None, None), row("new", "?!", None, ["unseen"])]
+    near = run(spark, labelled, rows)
+    assert near["short0"] == ["de"] and near["short1"] == ["fr"]
+    monkeypatch.setattr(language, "VENUES", 2)
+    assert run(spark, labelled, rows) == near
+
+
+def test_confidence_is_calibrated():
+    """On sentences that can't be told apart well, confidence is about the share of right ones."""
+    rng = np.random.default_rng(3)
+    make = lambda p: " ".join("".join(rng.choice(list("abcd"), 3, p=p)) for _ in range(6))
+    a, b = [0.3, 0.3, 0.2, 0.2], [0.2, 0.2, 0.3, 0.3]
+    texts = {"x": [make(a) for _ in range(1500)], "y": [make(b) for _ in range(1500)]}
+    factor, model = language.calibrated(texts), Model.fit(texts)
+    probe = [(make(p), i) for _ in range(400) for i, p in enumerate((a, b))]
+    bits = model.lengths([t for t, _ in probe])
+    z = np.exp2(-(bits - bits.min(1, keepdims=True)) * factor)
+    sure, right = z.max(1) / z.sum(1), bits.argmin(1) == [i for _, i in probe]
+    assert abs(sure.mean() - right.mean()) < 0.05 and 0.6 < right.mean() < 0.99
+
+
+def test_copies_of_a_text_are_one_training_text(spark):
+    df = spark.createDataFrame([(TEXTS["en"], "en")] * 50 + [(TEXTS["fr"] * 200, "fr")] + [(None, "en")], "text string, lang string")
+    got = language.sample(df, LANGS)
+    assert len(got["en"]) == len(sentences(TEXTS["en"])) and "fr" not in got
