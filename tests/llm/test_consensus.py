@@ -45,3 +45,23 @@ def test_empty_and_single_votes(spark):
     assert [r["n_votes"] for r in consensus.annotators(votes(spark, []), "bibkey").collect()] == [0] * 4
     got = consensus.consensus(votes(spark, [("x", 1, "POSITIVE", None, None), ("y", 1, None, None, None)]), "bibkey").collect()
     assert [(r["bibkey"], r["n_votes"], r["agreement"], r["kappa"], r["disputed"]) for r in got] == [("x", 1, 1.0, None, False)]
+
+
+def test_annotators_follow_from_the_posteriors(spark):
+    """Reliability and kappa, item by item."""
+    import pytest
+
+    rng = random.Random(4)
+    rows = [(f"k{i}", 1, *(rng.choice(["POSITIVE", "NEGATIVE", None]) if rng.random() < 0.4 else ("POSITIVE" if i % 3 else "NEGATIVE") for _ in "abc")) for i in range(200)]
+    v = votes(spark, rows)
+    post = {r["bibkey"]: r["posterior"] for r in consensus.consensus(v, "bibkey").collect()}
+    given = [r.asDict() for r in v.collect()]
+    for r in consensus.annotators(v, "bibkey").collect():
+        own = [(g[r["annotator"]], post[g["bibkey"]]) for g in given if g[r["annotator"]] is not None]
+        if not own:
+            assert r["n_votes"] == 0
+            continue
+        n, p = len(own), sum(x for x, _ in own)
+        right, truly = sum(q if x else 1 - q for x, q in own), sum(q for _, q in own)
+        chance = (p * truly + (n - p) * (n - truly)) / n**2
+        assert (r["n_votes"], r["reliability"], r["kappa"]) == (n, pytest.approx(right / n), pytest.approx((right / n - chance) / (1 - chance)))

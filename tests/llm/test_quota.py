@@ -54,3 +54,24 @@ def test_same_sample_for_any_partitioning(spark):
     df = papers(spark, {("A", 2020): 300, ("B", 2020): 100})
     one, two = (sorted(map(tuple, quota.sample(df.repartition(n), "bibkey", ["bucket", "year"], targets(spark, cells(0)))[0].collect())) for n in (1, 5))
     assert one == two and one
+
+
+def test_crossings_equal_a_plain_reading(spark, monkeypatch):
+    """One list of all papers, in order of category and hash, a running sum of inclusion probabilities, and its crossings; then the floors."""
+    monkeypatch.setattr(quota, "BIN_ROWS", 25)
+    wanted = [("A", 2020, 0.45, 3), ("A", 2021, 0.3, 0), ("B", 2020, 0.2, 0), ("B", 2021, 0.01, 4), ("C", 2020, 0.04, 9)]
+    df = papers(spark, {("A", 2020): 311, ("A", 2021): 157, ("B", 2020): 60, ("B", 2021): 20, ("C", 2020): 7, ("D", 2020): 50})
+    chosen, report = quota.sample(df, "bibkey", ["bucket", "year"], targets(spark, wanted))
+    order = {(r["bucket"], r["year"], r["bibkey"]): r["u"] for r in df.select("bibkey", "bucket", "year", quota._uniform(42, "bibkey").alias("u")).collect()}
+    pool = {c: sorted((u, k) for (*x, k), u in order.items() if tuple(x) == c) for c in [(b, y) for b, y, _, _ in wanted]}
+    size, total, want, rows = 0.2 * sum(map(len, pool.values())), 0.0, set(), {}
+    for b, y, share, floor in sorted(wanted):
+        own, quotum = pool[b, y], min(share * size, len(pool[b, y]))
+        hit = [i for i in range(len(own)) if (lambda x: int((x(i + 1) - quota._start(42)) // 1) > int((x(i) - quota._start(42)) // 1))(lambda r: total + quotum * (r / len(own)))]  # noqa: B023
+        rest = [i for i in range(len(own)) if i not in set(hit)]
+        hit += rest[: max(0, min(floor, len(own)) - len(hit))]
+        total += quotum
+        want |= {own[i][1] for i in hit}
+        rows[b, y] = (len(own), len(hit), len(own) < share * size or len(own) < floor)
+    assert {r["bibkey"] for r in chosen.collect()} == want
+    assert {(r["bucket"], r["year"]): (r["available"], r["selected"], r["short"]) for r in report.collect()} == rows
