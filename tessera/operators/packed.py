@@ -169,7 +169,8 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     )))).filter(F.col("value").rlike(MAYBE) | (F.col("kind").isin(blank) & F.col("value").rlike(PARTED)))
     cut = long.withColumn("tokens", F.regexp_extract_all("value", F.lit(TOKENS), F.lit(0))).withColumn("skeleton", skeleton(F.col("tokens")))
     rules = materialize(
-        cut.groupBy("kind", "skeleton").agg(F.count("*").alias("n")).mapInPandas(_rules, "kind string, skeleton string, n bigint, spans array<struct<at:int,n:int,esc:string>>"),
+        # few bytes, but work for Python: a number of partitions that AQE leaves as it is
+        cut.groupBy("kind", "skeleton").agg(F.count("*").alias("n")).repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "kind", "skeleton").mapInPandas(_rules, "kind string, skeleton string, n bigint, spans array<struct<at:int,n:int,esc:string>>"),
         "rules",
     )
     if small(rules) and rules.agg(F.coalesce(F.sum(F.length("skeleton")), F.lit(0))).first()[0] <= RULE_CHARS:
