@@ -54,7 +54,7 @@ def plan(papers: DataFrame, cell: list[str], targets: DataFrame, fraction: float
 def sample(df: DataFrame, key: str, cell: list[str], targets: DataFrame, fraction: float = 0.2, seed: int = 42, latest: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(sample, report). sample: key and category. report: a row per target with
 
-    available, size, floor, selected, and short: fewer available than size, or than floor.
+    available, size, floor, selected, and short: the sample holds fewer than size, or than floor, and there are no more.
     targets has the category columns, target_share and min_rows; the sample is ``fraction`` of the pool.
     """
     papers = materialize(pool(df, key, cell, targets, latest).withColumn("__u", _uniform(seed, key)), "pool")
@@ -77,8 +77,9 @@ def sample(df: DataFrame, key: str, cell: list[str], targets: DataFrame, fractio
     extra = fixed.select(*cell, F.explode("extra").alias("__rank"))
     out = marked.join(F.broadcast(extra.withColumn("add", F.lit(1))) if few else extra.withColumn("add", F.lit(1)), [*cell, "__rank"], "left")
     chosen = out.filter((F.col("hit") == 1) | (F.col("add") == 1)).select(key, *cell)
-    short = (F.col("available") < F.col("size")) | (F.col("available") < F.col("floor"))
-    report = fixed.select(*cell, "available", "size", "floor", (F.coalesce("got", F.lit(0)) + F.size("extra")).alias("selected"), short.alias("short"))
+    under = lambda c: (F.col(c) < F.col("size")) | (F.col(c) < F.col("floor"))
+    report = fixed.select(*cell, "available", "size", "floor", (F.coalesce("got", F.lit(0)) + F.size("extra")).alias("selected"))
+    report = report.withColumn("short", under("selected") & under("available"))
     return chosen, report
 
 
