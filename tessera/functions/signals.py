@@ -17,7 +17,7 @@ EVALUATES_ON = [
     r"\bfine[\-\s]?tun(?:e|ed|ing)\s+on\b",
 ]
 BENCHMARK_VOCAB = [
-    r"(?<!(?:existing|standard|current|popular) )\bbenchmark(?:s|ing)?\b",
+    r"(?<!existing )(?<!a existing )(?<!standard )(?<!a standard )(?<!current )(?<!a current )(?<!popular )(?<!a popular )(?<!the standard )\bbenchmark(?:s|ing)?\b",
     r"\bleaderboard\b",
 ]
 BENCHMARK_WEAK = [

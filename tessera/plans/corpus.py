@@ -20,7 +20,7 @@ ABC = {"A": 400, "B": 400, "C": 300}
 GOLD = {"A": 70, "B": 70, "C": 70}
 POOL = {"A": 500, "B": 400, "C": 300}
 SECOND = {"A": 100, "B": 100, "C": 0}
-TASK = labels.Task("Decide whether the paper introduces a new benchmark for text classification.")
+TASK = labels.register("taxonomy", labels.Task("Decide whether the paper introduces a new benchmark for text classification."))
 
 
 def _r6(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ CLEAN = lambda c: f"regexp_replace(upper({STRIP(c)}), '^LABEL\\.', '')"  # noqa:
 
 # The dialect has no lookbehind: a guarded phrase is put out of the way before the search.
 GUARDS = {
-    r"(?<!(?:existing|standard|current|popular) )": "(?i)(existing|standard|current|popular) benchmark",
+    r"(?<!existing )(?<!a existing )(?<!standard )(?<!a standard )(?<!current )(?<!a current )(?<!popular )(?<!a popular )(?<!the standard )": "(?i)(existing|standard|current|popular) benchmark",
     r"(?<!native language )": "(?i)native language NLI",
     r"(?<!native )": "(?i)native language",
 }
