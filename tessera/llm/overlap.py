@@ -10,8 +10,9 @@ from their sorted suffixes.
 
 Neighbourhoods are short, and runs of like abstracts are long. What they leave out comes from the suffixes of titles: a
 pair of the same paper has near titles, which have a part in common at nearly the same place (_cuts), so all pairs of
-titles that share a part meet in a run, and none is lost. Under titles that many records hold, records must share a span
-besides (WINDOW + 7 words). Nothing else is capped.
+titles that share a part meet in a run, and none is lost. Under titles that many records hold, all records of one side
+meet all of the other in blocks (crowded), and an upper bound of what they have in common leaves most pairs out. Nothing
+is capped.
 
 Null titles and abstracts are empty. Where an abstract is blank the title decides: the suffix from its start to its end
 sign must be whole in both. A record without a title is never matched by title; null row ids are no records. Exact copies
@@ -47,8 +48,8 @@ NEIGHBOURS = 3
 SALT_ROWS = 5_000
 #: Suffixes in one partition, about.
 PART_ROWS = 400_000
-#: A title of more records of one side than this is common: its records must share a span to be a pair.
-COMMON = 300
+#: A title of more records of one side than this is common: its records meet in blocks of about BLOCK_ROWS, or BLOCK_CHARS of abstracts.
+COMMON, BLOCK_ROWS, BLOCK_CHARS = 300, 500, 1_000_000
 #: Alike: share of common four-letter strings; or the shorter abstract all but whole in the longer one, which has at most a sentence more.
 ALIKE, WITHIN, SENTENCE = 0.72, 0.88, 230
 #: Letters of abstracts that are compared at once.
@@ -417,9 +418,52 @@ def alike(first: list[str], second: list[str]) -> np.ndarray:
     both = np.minimum(theirs, np.bincount(run) - theirs)
     both = np.bincount(pair[np.r_[0, np.flatnonzero(np.diff(run)) + 1]], both, len(first))
     n, m = size[: len(first)], size[len(first) :]
+    return enough(both, n, m)
+
+
+def enough(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether so many common strings are enough for abstracts of n and m."""
     return (2 * both >= ALIKE * (n + m)) | ((both >= WITHIN * np.minimum(n, m)) & (np.abs(n - m) <= SENTENCE))
 
 
+def all_alike(first: list[str], second: list[str]) -> np.ndarray:
+    """alike(), of BATCH_CHARS at once."""
+    ok = np.zeros(len(first), bool)
+    size = np.cumsum([len(x) + len(y) for x, y in zip(first, second)]) // BATCH_CHARS
+    for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(size)) + 1) if first else []:
+        ok[part] = alike(first[part[0] : part[-1] + 1], second[part[0] : part[-1] + 1])
+    return ok
+
+
+def tallies(texts: list[str], slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many strings of four letters of each text fall into each slot, and how many they are."""
+    size = np.array([max(1, len(t) - 3) for t in texts], np.int64)
+    c = np.frombuffer("".join(t + "\0\0\0\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    room = np.array([len(t) + 4 for t in texts], np.int64)
+    at = np.repeat(np.cumsum(room) - room, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    key = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(4):
+            key = (key ^ c[at + j]) * P
+            key ^= key >> np.uint64(29)
+    slot = np.repeat(np.arange(len(texts)), size) * slots + (key & np.uint64(slots - 1)).astype(np.int64)
+    n = np.bincount(slot, minlength=len(texts) * slots).reshape(-1, slots)
+    return n.astype(np.uint16 if n.max(initial=0) < 1 << 16 else np.int64), size
+
+
+def met(first: list[str], second: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs of the two lists that are alike.
+
+    Strings in common are at most those whose slots are; only pairs for which these would be enough are compared.
+    """
+    slots = 1 << int(np.clip(np.ceil(np.log2(2 * np.mean([len(t) + 1 for t in (*first, *second)]))), 8, 13))
+    (x, n), (y, m) = tallies(first, slots), tallies(second, slots)
+    may = [np.flatnonzero(enough(np.minimum(x[i], y).sum(1, dtype=np.int64), n[i], m)) for i in range(len(first))]
+    a, b = np.repeat(np.arange(len(first)), [len(z) for z in may]), np.concatenate(may)
+    ok = all_alike([first[i] for i in a], [second[i] for i in b])
+    return a[ok], b[ok]
+
+
 def same(title_a: str, abstract_a: str, title_b: str, abstract_b: str) -> bool:
     """Whether two normalised records hold the same paper."""
     if not abstract_a or not abstract_b:
@@ -434,10 +478,7 @@ def _checked(batches):
         texts = {c: b[c].tolist() for c in ("t_title", "e_title", "t_abstract", "e_abstract")}
         ok = np.array([titles_near(normalise(x), normalise(y)) for x, y in zip(texts["t_title"], texts["e_title"])], bool)
         at = np.flatnonzero(ok)
-        first, second = ([normalise(texts[c][i]) for i in at] for c in ("t_abstract", "e_abstract"))
-        size = np.cumsum([len(x) + len(y) for x, y in zip(first, second)]) // BATCH_CHARS
-        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(size)) + 1) if len(at) else []:
-            ok[at[part]] = alike(first[part[0] : part[-1] + 1], second[part[0] : part[-1] + 1])
+        ok[at] = all_alike(*([normalise(texts[c][i]) for i in at] for c in ("t_abstract", "e_abstract")))
         yield b.loc[ok, ["t", "e"]]
 
 
@@ -471,11 +512,11 @@ def salted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return parted(left, "l", "r").join(parted(right, "r", "l"), [key, "__l", "__r"]).drop("__l", "__r")
 
 
-def titled(parts: DataFrame, suffixes: DataFrame, classes: DataFrame) -> DataFrame:
-    """(t, e): all pairs of classes with abstracts whose titles can be near and whose abstracts' lengths are, too."""
+def titled(parts: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(t, e): all pairs of classes with abstracts whose titles can be near and whose abstracts' lengths are, too; but for those of common titles, of which there are the pairs (a, b) of titles that can be near."""
     of = lambda df, v, *columns: df.filter(F.col("side") == v).select(*columns)
-    met = salted(of(parts, 0, "k1", F.col("rep").alias("a"), F.col("sign").alias("x")), of(parts, 1, "k1", F.col("rep").alias("b"), F.col("sign").alias("y")), "k1")
-    near = materialize(met.filter(signs_fit("x", "y")).select("a", "b").distinct(), "near")
+    shared_parts = salted(of(parts, 0, "k1", F.col("rep").alias("a"), F.col("sign").alias("x")), of(parts, 1, "k1", F.col("rep").alias("b"), F.col("sign").alias("y")), "k1")
+    near = materialize(shared_parts.filter(signs_fit("x", "y")).select("a", "b").distinct(), "near")
     full = classes.filter("not blank")
     counts = full.groupBy("title").agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
     common = materialize(counts.filter(f"n > {COMMON} or m > {COMMON}").select("title"), "common")
@@ -483,18 +524,44 @@ def titled(parts: DataFrame, suffixes: DataFrame, classes: DataFrame) -> DataFra
     t, e = of(full, 0, F.col("title").alias("a"), F.col("rep").alias("t"), "n"), of(full, 1, F.col("title").alias("b"), F.col("rep").alias("e"), F.col("n").alias("m"))
     join = lambda df, right, on: right.join(F.broadcast(df), on) if small(df) else df.join(right, on)
     if common.isEmpty():
-        return join(near, t, "a").join(e, "b").filter(fits).select("t", "e")
+        return join(near, t, "a").join(e, "b").filter(fits).select("t", "e"), None
     common = F.broadcast(common) if small(common) else common
     often = near.join(common.withColumnRenamed("title", "a"), "a", "left_semi").unionByName(near.join(common.withColumnRenamed("title", "b"), "b", "left_semi")).distinct()
     often = materialize(often, "often")
     rare = near.join(often, ["a", "b"], "left_anti")
-    plain = join(materialize(rare, "rare"), t, "a").join(e, "b").filter(fits).select("t", "e")
-    # of common titles, the records that share a suffix's first eight words, too
-    spans = lambda v, name: of(suffixes, v, F.col("rep").alias(name), "k1", "k2").distinct()
-    left = often.join(t, "a").join(spans(0, "t"), "t").select("b", "t", "n", "k1", "k2")
-    right = e.join(often.select("b").distinct(), "b", "left_semi").join(spans(1, "e"), "e").select("b", "e", "m", "k1", "k2")
-    held = salted(left.select(F.xxhash64("b", "k1", "k2").alias("k"), "t", "n").distinct(), right.select(F.xxhash64("b", "k1", "k2").alias("k"), "e", "m").distinct(), "k")
-    return plain.unionByName(held.filter(fits).select("t", "e"))
+    return join(materialize(rare, "rare"), t, "a").join(e, "b").filter(fits).select("t", "e"), often
+
+
+def _plain(batches):
+    for b in batches:
+        yield b.assign(abstract=[normalise(x) for x in b["abstract"]], head=[normalise(x) for x in b["head"]])
+
+
+def _crowd(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The pairs (t, e) of two blocks that are the same paper; the records of a block have one title but for notes of editions."""
+    if not len(left) or not len(right) or not titles_near(left["head"].iloc[0], right["head"].iloc[0]):
+        return pd.DataFrame({"t": np.zeros(0, np.int64), "e": np.zeros(0, np.int64)})
+    x, y = met(left["abstract"].tolist(), right["abstract"].tolist())
+    return pd.DataFrame({"t": left["t"].to_numpy()[x], "e": right["e"].to_numpy()[y]})
+
+
+def crowded(often: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (t, e) of classes that hold the same paper, out of all under the pairs (a, b) of titles; each block of one side meets each of the other."""
+    full = classes.filter("not blank")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_CHARS)).cast("int")
+    count = lambda v, title, name: full.filter(F.col("side") == v).groupBy(F.col("title").alias(title)).agg(blocks.alias(name))
+    sized = materialize(often.join(count(0, "a", "l"), "a").join(count(1, "b", "r"), "b"), "blocks")
+    held = F.broadcast(sized) if small(sized) else sized
+
+    def side(v: int, title: str, name: str, mine: str, other: str) -> DataFrame:
+        own = full.filter(F.col("side") == v).select(F.col("title").alias(title), F.col("rep").alias(name), "row_id").join(held.select(title).distinct(), title, "left_semi")
+        texts = rows.filter(F.col("side") == v).select("row_id", F.col("title").alias("head"), "abstract").join(own, "row_id").select(title, name, "head", "abstract")
+        texts = materialize(texts.mapInPandas(_plain, f"{title} bigint, {name} bigint, head string, abstract string"), "texts")
+        at = texts.join(held, title)
+        return at.select("a", "b", name, "head", "abstract", F.pmod(F.xxhash64(name), F.col(mine)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+
+    keys = ["a", "b", "l", "r"]
+    return side(0, "a", "t", "l", "r").groupBy(*keys).cogroup(side(1, "b", "e", "r", "l").groupBy(*keys)).applyInPandas(_crowd, "t bigint, e bigint")
 
 
 def overlaps(train: DataFrame, evaluation: DataFrame, key: str = "row_id") -> DataFrame:
@@ -505,12 +572,16 @@ def overlaps(train: DataFrame, evaluation: DataFrame, key: str = "row_id") -> Da
     records, suffixes, parts = (listed.filter(F.col("kind") == k) for k in (RECORD, SUFFIX, PART))
     one = [F.min(c).alias(c) for c in ("row_id", "n", "title", "whole", "blank")]
     classes = materialize(records.groupBy("side", "rep").agg(*one, F.count("*").alias("copies")), "classes")
-    pairs = materialize(shared(suffixes).unionByName(titled(parts, suffixes, classes)).distinct(), "candidates")
+    met_by_title, often = titled(parts, classes)
+    pairs = materialize(shared(suffixes).unionByName(met_by_title).distinct(), "candidates")
     ends = classes.filter("whole <> 0")
     side = lambda v, name: ends.filter(F.col("side") == v).select(F.col("rep").alias(name), "whole", F.col("blank").alias(f"{name}_blank"))
     t, e = side(0, "t"), side(1, "e")
     by_title = salted(e.filter("e_blank"), t, "whole").select("t", "e").unionByName(salted(e.filter("not e_blank"), t.filter("t_blank"), "whole").select("t", "e"))
-    found = materialize(check(pairs, classes, rows).unionByName(by_title), "found")
+    by_text = check(pairs, classes, rows)
+    if often is not None:
+        by_text = by_text.unionByName(crowded(often, classes, rows)).distinct()
+    found = materialize(by_text.unionByName(by_title), "found")
     members = lambda v, name, row: records.filter(F.col("side") == v).select(F.col("rep").alias(name), F.col("row_id").alias(row))
     if small(found):
         half = members(0, "t", "row_t").join(F.broadcast(found), "t")

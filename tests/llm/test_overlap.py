@@ -108,6 +108,27 @@ def test_common_titles_need_a_shared_span(spark, monkeypatch):
     assert pairs(spark, train + [(300, "Introdution", "Short words")], evaluation) == sorted([(i, 100 + i) for i in range(30)] + [(300, 200)])
 
 
+def test_common_titles_without_a_shared_span(spark, monkeypatch):
+    """Under a common title every third word has a slip, so that no three words in a row are the same on both sides."""
+    monkeypatch.setattr(overlap, "COMMON", 5)
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", 7)
+    rng = random.Random(13)
+    words = ["".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(7)) for _ in range(300)]
+    abstracts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    slip = lambda a: " ".join(w[:5] + "x" + w[6:] if i % 3 == 0 else w for i, w in enumerate(a.split()))
+    train = [(i, "Introduction", a) for i, a in enumerate(abstracts)]
+    evaluation = [(100 + i, "INTRODUCTION!" if i % 2 else "Introdution (v2)", slip(a)) for i, a in enumerate(abstracts[:30])]
+    assert pairs(spark, train, evaluation) == [(i, 100 + i) for i in range(30)]
+
+
+def test_pairs_of_two_lists_are_those_that_are_alike():
+    rng = random.Random(14)
+    first = [text(rng, 3).lower() for _ in range(25)] + ["a", "abc", "aaaaaaaa", "中文"]
+    second = [changed(rng, t) for t in first[:25]] + [first[0] + " " + text(rng, 1), "a", "aaaa", "中文"]
+    want = [(i, j) for i, a in enumerate(first) for j, b in enumerate(second) if overlap.alike([a], [b])[0]]
+    assert [tuple(map(int, z)) for z in zip(*overlap.met(first, second))] == want and len(want) > 20
+
+
 @pytest.mark.parametrize("n", [300, 4000])
 def test_recall_under_one_template_abstract(spark, n):
     """Papers with one abstract but for their name, each with a twin whose title has two slips."""
