@@ -5,7 +5,8 @@ counted over all labelled documents) gives unlabelled documents posteriors over
 belongs to its own. Projected-gradient least squares then fits nonnegative document rates, capped by the allowed
 repeats, whose expected domain token totals match the targets. Documents with the same membership share a rate, so the
 labelled ones enter as one group per source, and the unlabelled ones as one group per membership (in steps of
-1 / GRAIN). Where these groups are too many for the driver, every round sums over them on the cluster instead.
+1 / GRAIN). Where these groups are too many for the driver, every round sums over them on the cluster instead, with the
+same rounds to the same rest; the sums are rounded (UNIT), so that their order makes no difference.
 
 A source is reported as unreachable where the fitted rates leave its own documents short of its goal, and the sum of its
 tokens, all used as often as allowed, is short of it, too.
@@ -30,10 +31,12 @@ from .bpe import PATTERN, VOCABULARY, encode, load, slices
 EVIDENCE = 50
 #: Memberships are multiples of one over this.
 GRAIN = 32
-#: Gradient steps at most, with the groups on the driver and on the cluster; whether they were enough is reported.
-ROUNDS, FAR_ROUNDS = 2_000, 40
+#: Gradient steps at most; whether they were enough is reported. On the cluster, rates are written after so many of them.
+ROUNDS, WRITTEN = 2_000, 20
 #: The fit has converged when a step moves the domains' totals by at most this part of all goals.
 SETTLED = 1e-5
+#: The domains' totals are multiples of this part of all goals.
+UNIT = 2.0**-26
 #: Numbers in the memberships of all groups together up to which they are fitted on the driver.
 GROUP_CELLS = 5_000_000
 #: Targets are a table of this many rows at most; they and their class statistics go to the driver.
@@ -92,15 +95,20 @@ def _posteriors(model):
     return run
 
 
+def stepped(p: np.ndarray, caps: np.ndarray, steps: list[np.ndarray], r: np.ndarray) -> np.ndarray:
+    """The rates r of rows of p after further gradient steps; each is projected to [0, cap]."""
+    cap = p @ caps
+    for s in steps:
+        r = np.clip(r - p @ s, 0, cap)
+    return r
+
+
 def rates(p: np.ndarray, caps: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """The rate of each document (row of p) after the gradient steps so far; each is projected to [0, cap]."""
+    """The rate of each document (row of p) after the gradient steps so far."""
     if not len(p):
         return np.zeros(0)
     p, at = np.unique(p, axis=0, return_inverse=True)
-    cap, r = p @ caps, np.zeros(len(p))
-    for s in steps:
-        r = np.clip(r - p @ s, 0, cap)
-    return r[at.reshape(-1)]
+    return stepped(p, caps, steps, np.zeros(len(p)))[at.reshape(-1)]
 
 
 def fit(hard: np.ndarray, caps: np.ndarray, goal: np.ndarray, soft: DataFrame | None) -> tuple[list[np.ndarray], bool]:
@@ -114,35 +122,45 @@ def fit(hard: np.ndarray, caps: np.ndarray, goal: np.ndarray, soft: DataFrame |
     if soft is not None and small(soft, GROUP_CELLS // max(k, 1)):
         got = soft.select("p", "tokens").toPandas()  # checked just now
         p, tokens = np.vstack([p, *got["p"]]), np.r_[tokens, got["tokens"].to_numpy(float)]
-    else:
-        far = soft
+    elif soft is not None:
+        far = soft.select("p", "tokens", F.lit(0.0).alias("r"))
+    pending: list[np.ndarray] = []
 
-    def total(steps: list[np.ndarray] | None) -> np.ndarray:
-        """Tokens by domain of the far groups under the rates so far (None: rate one)."""
+    def forward(batches):
+        for b in batches:
+            q = np.stack(b["p"].to_numpy()) if len(b) else np.zeros((0, k))
+            yield b.assign(r=stepped(q, caps, pending, b["r"].to_numpy(float)))
+
+    def total(of: str) -> np.ndarray:
+        """Tokens by domain of the far groups under the rates so far (r), or under rate one (tokens)."""
         out = np.zeros(k)
         if far is None:
             return out
 
         def part(batches):
             sums = np.zeros(k)
-            for b in batches:
+            for b in forward(batches) if of == "r" else batches:
                 q = np.stack(b["p"].to_numpy()) if len(b) else np.zeros((0, k))
-                sums += (b["tokens"].to_numpy(float) * (1 if steps is None else rates(q, caps, steps))) @ q
+                sums += (b["tokens"].to_numpy(float) * (b["r"].to_numpy(float) if of == "r" else 1)) @ q
             yield pd.DataFrame({"k": np.arange(k), "w": sums})
 
         for r in far.mapInPandas(part, "k int, w double").groupBy("k").agg(F.sum("w").alias("w")).collect():  # one row a domain
             out[r["k"]] = r["w"]
         return out
 
-    weight = np.maximum(tokens @ p + total(None), 1.0)
-    cap, r, steps = p @ caps, np.zeros(len(p)), []
-    before = np.full(k, np.inf)
-    for _ in range(ROUNDS if far is None else FAR_ROUNDS):
-        now = (tokens * r) @ p + (total(steps) if steps else 0)
+    weight = np.maximum(tokens @ p + total("tokens"), 1.0)
+    unit = max(UNIT * goal.sum(), 1e-300)
+    r, steps, before = np.zeros(len(p)), [], np.full(k, np.inf)
+    for _ in range(ROUNDS):
+        now = np.rint(((tokens * r) @ p + (total("r") if steps else 0)) / unit) * unit
         if np.abs(now - before).max(initial=0) <= SETTLED * goal.sum():
             return steps, True
         steps.append((now - goal) / weight)
-        r, before = np.clip(r - p @ steps[-1], 0, cap), now
+        pending.append(steps[-1])
+        r, before = stepped(p, caps, steps[-1:], r), now
+        if far is not None and len(pending) == WRITTEN:
+            far = materialize(far.mapInPandas(forward, far.schema), "rates")
+            pending.clear()
     return steps, False
 
 

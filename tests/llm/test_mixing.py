@@ -81,3 +81,18 @@ def test_groups_on_the_driver_and_on_the_cluster_give_the_same_steps(spark, monk
     monkeypatch.setattr(mixing, "GROUP_CELLS", 0)
     far, _ = mixing.fit(*args, soft)
     assert np.allclose(near[: len(far)], far[: len(near)])
+
+
+def test_as_many_rounds_on_the_cluster_as_on_the_driver(spark, monkeypatch):
+    """A fit that takes more than forty rounds to come to rest."""
+    rng = np.random.default_rng(10)
+    p = mixing.grained(rng.dirichlet([0.5] * 4, 60))
+    soft = spark.createDataFrame([(list(map(float, x)), int(n)) for x, n in zip(p, rng.integers(1, 50, 60))], "p array<double>, tokens long")
+    hard = rng.integers(100, 2000, 4).astype(float)
+    caps, goal = rng.integers(1, 4, 4).astype(float), rng.dirichlet([1.0] * 4) * hard.sum()
+    near, settled = mixing.fit(hard, caps, goal, soft)
+    assert settled and 41 < len(near) < 60
+    monkeypatch.setattr(mixing, "GROUP_CELLS", 0)
+    far, rested = mixing.fit(hard, caps, goal, soft)
+    assert rested and len(far) == len(near) and np.allclose(far, near, atol=1e-9)
+    assert np.allclose(mixing.rates(p, caps, far), mixing.rates(p, caps, near), atol=1e-9)
